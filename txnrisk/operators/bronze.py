@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk import schemas as S
@@ -35,6 +37,12 @@ def _defects() -> dict[str, Column]:
     }
 
 
+def _any_defect() -> Column:
+    """Whether a row breaks any rule: plain booleans that stay in generated code and stop at
+    the first hit, so clean rows never build a list of reasons."""
+    return reduce(or_, [F.coalesce(broken, F.lit(False)) for broken in _defects().values()])
+
+
 def flag_defects(raw: DataFrame) -> DataFrame:
     """Adds ``rejection_reasons``: the name of every rule a row breaks, empty when clean.
 
@@ -45,33 +53,33 @@ def flag_defects(raw: DataFrame) -> DataFrame:
     return with_raw_columns(raw).withColumn("rejection_reasons", F.array_compact(F.array(*names)))
 
 
-def clean_rows(flagged: DataFrame, now: datetime | None = None) -> DataFrame:
+def clean_rows(raw: DataFrame, now: datetime | None = None) -> DataFrame:
     """The rows without defects, typed. ``now`` stamps rows that carry no ingest time."""
     moment = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     event_time = X.instant(F.col("timestamp"))
     computed = {
-        "amount": F.col("amount").try_cast("decimal(12,2)"),
         "currency": F.coalesce("currency", F.lit(S.DEFAULT_CURRENCY)),
         "transaction_timestamp": event_time,
         "ingest_timestamp": F.coalesce(X.instant(F.col("ingest_timestamp")), moment),
         "schema_version": F.coalesce(F.col("schema_version").try_cast("int"), F.lit(1)),
         "dt": F.to_date(event_time),
     }
-    return flagged.where(F.size("rejection_reasons") == 0).select(
-        *[
-            computed.get(f.name, F.col(f.name).try_cast(f.dataType) if f.name in S.RAW_COLUMNS else None)
-            .alias(f.name)
-            for f in S.BRONZE.fields
-        ]
-    )
+    typed = []
+    for field in S.BRONZE.fields:
+        value = computed.get(field.name)
+        if value is None:
+            value = F.col(field.name).try_cast(field.dataType)
+        typed.append(value.alias(field.name))
+    return with_raw_columns(raw).where(~_any_defect()).select(*typed)
 
 
-def rejected_rows(flagged: DataFrame, now: datetime | None = None) -> DataFrame:
+def rejected_rows(raw: DataFrame, now: datetime | None = None) -> DataFrame:
     """The rows with defects, as they arrived, plus the reasons and a day to file them under:
     the event's, else the arrival's, else today."""
     moment = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     day = F.coalesce(X.instant(F.col("timestamp")), X.instant(F.col("ingest_timestamp")), moment)
-    return flagged.where(F.size("rejection_reasons") > 0).select(
+    broken = with_raw_columns(raw).where(_any_defect())
+    return flag_defects(broken).select(
         "*",
         F.concat_ws(",", "rejection_reasons").alias("rejection_reason"),
         moment.alias("rejected_at"),
@@ -81,22 +89,19 @@ def rejected_rows(flagged: DataFrame, now: datetime | None = None) -> DataFrame:
 
 def split(raw: DataFrame, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean typed rows, rejected rows); each input row is in exactly one of the two."""
-    flagged = flag_defects(raw)
-    return clean_rows(flagged, now), rejected_rows(flagged, now)
+    return clean_rows(raw, now), rejected_rows(raw, now)
 
 
 def keep_latest(df: DataFrame, keys: list[str], *latest_by: str) -> DataFrame:
     """One row per key: the greatest by ``latest_by``, NULLs lowest.
 
     Rows that tie are settled by a hash of the whole row, so a replay cannot change the
-    survivor. This is an aggregate and not a ranking window: copies collapse before the
-    shuffle, so an id that was delivered a billion times sends one row per task.
+    survivor. Spark turns "rank = 1" into a group limit on both sides of the shuffle, so an id
+    delivered a billion times sends one row per task; ``test_plans`` holds it to that.
     """
-    others = [c for c in df.columns if c not in keys]
-    order = F.struct(*[F.col(c) for c in latest_by], F.xxhash64(*df.columns))
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("kept"))
-    unpacked = best.select(*keys, *[F.col("kept")[c].alias(c) for c in others])
-    return unpacked.select(*df.columns)
+    newest_first = [F.desc_nulls_last(c) for c in latest_by]
+    copies = Window.partitionBy(*keys).orderBy(*newest_first, F.xxhash64(*df.columns).desc())
+    return df.withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy")
 
 
 def deduplicate(transactions: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def _last_of_second(df: DataFrame) -> DataFrame:
     )
     inside = F.lag("last").over(Window.partitionBy(KEY, "block").orderBy("second"))
     return (
-        cells.join(carried, [KEY, "block"])
+        cells.join(carried, [KEY, "block"], "left")
         .select(KEY, "second", F.coalesce(inside, F.col("carried")).alias("before"))
     )
 

@@ -15,8 +15,8 @@ from txnrisk.operators.history import customer_history
 def merchant_risk_scores(bronze: DataFrame, prior_weight: int = S.RISK_PRIOR_WEIGHT) -> DataFrame:
     """Fraud rate per merchant, pulled toward the overall rate by ``prior_weight`` pseudo-rows.
 
-    The overall rate is read off the merchant totals, as a scalar subquery, so the transactions
-    are scanned once and nothing returns to the driver. No rows: a rate of 0.
+    The overall rate is a scalar subquery over one column, so nothing returns to the driver.
+    No rows: a rate of 0.
     """
     fraud = X.labelled(F.col("is_fraud"))
     totals = bronze.groupBy("merchant_id").agg(
@@ -24,11 +24,7 @@ def merchant_risk_scores(bronze: DataFrame, prior_weight: int = S.RISK_PRIOR_WEI
         X.tally(fraud).alias("merchant_fraud_count"),
         F.avg(F.col("amount").cast("double")).alias("merchant_avg_amount"),
     )
-    overall = totals.agg(
-        F.coalesce(
-            X.ratio(F.sum("merchant_fraud_count"), F.sum("merchant_txn_count")), F.lit(0.0)
-        )
-    ).scalar()
+    overall = bronze.agg(F.coalesce(X.ratio(X.tally(fraud), F.count("*")), F.lit(0.0))).scalar()
     score = (F.col("merchant_fraud_count") + overall * prior_weight) / (
         F.col("merchant_txn_count") + prior_weight
     )

@@ -78,6 +78,12 @@ def money(amount: Column) -> Column:
     return F.coalesce(F.sum(amount.cast("decimal(12,2)")), F.lit(0)).cast("double")
 
 
+def mean_money(amount: Column) -> Column:
+    """Exact total over the count of amounts. An average of doubles would round a half cent up
+    or down depending on the order of the rows."""
+    return ratio(F.sum(amount.cast("decimal(12,2)")), F.count(amount))
+
+
 def approved(code: Column) -> Column:
     return F.coalesce(code == S.APPROVED_CODE, F.lit(True))
 

@@ -17,7 +17,7 @@ def _volume() -> dict[str, Column]:
         "fraud_transaction_count": X.tally(fraud),
         "total_amount_usd": X.money(F.col("amount")),
         "fraud_loss_amount_usd": X.money(F.when(fraud, F.col("amount"))),
-        "avg_transaction_amount_usd": F.round(F.avg(F.col("amount").cast("double")), 2),
+        "avg_transaction_amount_usd": F.round(X.mean_money(F.col("amount")), 2),
         "distinct_customer_count": F.count_distinct("customer_id"),
     }
 

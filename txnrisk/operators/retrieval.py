@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 CHUNK_TOKENS = 300
 OVERLAP_PCT = 20
 TOP_K = 5
+WHITESPACE = r"[ \t\n\x0B\f\r]+"
 QUERIES_PER_PASS = 256
 
 
@@ -22,7 +23,7 @@ def chunk(
     """Overlapping windows of whitespace-separated tokens: ``chunk_no``, ``chunk``, ``n_tokens``.
     The last window is the one that reaches the end; a text without tokens has none."""
     step = tokens - tokens * overlap_pct // 100
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.col(text), WHITESPACE), lambda w: w != "")
     length = F.size("words")
     last_start = F.greatest(F.ceil((length - tokens) / step), F.lit(0)) * step
     starts = F.sequence(F.lit(0), last_start.cast("int"), F.lit(step))

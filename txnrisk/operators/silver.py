@@ -22,7 +22,7 @@ def merchant_risk_scores(bronze: DataFrame, prior_weight: int = S.RISK_PRIOR_WEI
     totals = bronze.groupBy("merchant_id").agg(
         F.count("*").alias("merchant_txn_count"),
         X.tally(fraud).alias("merchant_fraud_count"),
-        F.avg(F.col("amount").cast("double")).alias("merchant_avg_amount"),
+        X.mean_money(F.col("amount")).alias("merchant_avg_amount"),
     )
     overall = bronze.agg(F.coalesce(X.ratio(X.tally(fraud), F.count("*")), F.lit(0.0))).scalar()
     score = (F.col("merchant_fraud_count") + overall * prior_weight) / (

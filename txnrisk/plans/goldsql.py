@@ -89,7 +89,13 @@ def period_over_period(metrics: DataFrame, as_of, days: int = 30) -> DataFrame:
     )
 
 
-def metrics_with_merchants(metrics: DataFrame, risk: DataFrame) -> DataFrame:
-    """Merchants beside the days of their category: ``merchant_id, fraud_rate_pct, dt``."""
-    days = metrics.select("mcc", "dt")
-    return risk.select("mcc", "merchant_id", "fraud_rate_pct").join(days, "mcc").drop("mcc")
+def merchants_with_category(metrics: DataFrame, risk: DataFrame) -> DataFrame:
+    """Each merchant beside what its category did. The category is summed before the join, so a
+    merchant meets one row, not one per day and channel."""
+    categories = metrics.groupBy("mcc").agg(
+        F.sum("transaction_count").alias("category_transaction_count"),
+        F.sum("fraud_transaction_count").alias("category_fraud_count"),
+        F.max("dt").alias("category_last_day"),
+    )
+    merchants = risk.select("mcc", "merchant_id", "transaction_count", "fraud_rate_pct")
+    return merchants.join(categories, "mcc")

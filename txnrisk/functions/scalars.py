@@ -51,9 +51,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half-up rounding of what the number means in decimal. 756.81 / 18 is 42.045, but as a
+    binary double a hair less; ten digits take that noise away before the half is looked at."""
+    return F.round(value.cast("decimal(38,10)"), digits).cast("double")
+
+
 def percent(part: Column, whole: Column, digits: int) -> Column:
     """Rounded percentage, NULL (not 0) when there is nothing to take a share of."""
-    return F.round(ratio(part.cast("double") * 100.0, F.when(whole > 0, whole)), digits)
+    return rounded(ratio(part.cast("double") * 100.0, F.when(whole > 0, whole)), digits)
 
 
 def risk_tier(score: Column) -> Column:

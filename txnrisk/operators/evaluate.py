@@ -99,7 +99,7 @@ def ranking_metrics(
     """``roc_auc`` (ties count half) and ``average_precision``, rounded to four decimals, NULL
     when a class is missing."""
     by = by or []
-    hist = _histogram(scored, by, F.round(F.col(score).cast("double"), 6), label)
+    hist = _histogram(scored, by, X.rounded(F.col(score).cast("double"), 6), label)
     # Two-level running counts: within a thousandth of the score range, plus what lies above it.
     hist = hist.withColumn("slab", F.floor(F.col("bin") * 1000).cast("long"))
     inside = Window.partitionBy(*by, "slab").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -124,8 +124,8 @@ def ranking_metrics(
     positives, negatives = F.sum("pos"), F.sum("neg")
     lost = X.ratio(F.sum(wins), positives.cast("double") * negatives * 2)
     return ranked.groupBy(*by).agg(
-        F.when((positives > 0) & (negatives > 0), F.round(1.0 - lost, 4)).alias("roc_auc"),
-        F.when(positives > 0, F.round(X.ratio(F.sum(precision * F.col("pos")), positives), 4)).alias(
+        F.when((positives > 0) & (negatives > 0), X.rounded(1.0 - lost, 4)).alias("roc_auc"),
+        F.when(positives > 0, X.rounded(X.ratio(F.sum(precision * F.col("pos")), positives), 4)).alias(
             "average_precision"
         ),
     )
@@ -144,7 +144,7 @@ def decision_metrics(
     tp, fp, fn = X.tally(flagged & fraud), X.tally(flagged & ~fraud), X.tally(~flagged & fraud)
 
     def share(part: Column, whole: Column) -> Column:
-        return F.round(F.coalesce(X.ratio(part, whole), F.lit(0.0)), 4)
+        return X.rounded(F.coalesce(X.ratio(part, whole), F.lit(0.0)), 4)
 
     return scored.groupBy(*(by or [])).agg(
         share(tp, tp + fp).alias("precision"),

@@ -17,7 +17,7 @@ def _volume() -> dict[str, Column]:
         "fraud_transaction_count": X.tally(fraud),
         "total_amount_usd": X.money(F.col("amount")),
         "fraud_loss_amount_usd": X.money(F.when(fraud, F.col("amount"))),
-        "avg_transaction_amount_usd": F.round(X.mean_money(F.col("amount")), 2),
+        "avg_transaction_amount_usd": X.rounded(X.mean_money(F.col("amount")), 2),
         "distinct_customer_count": F.count_distinct("customer_id"),
     }
 
@@ -49,7 +49,7 @@ def merchant_risk(silver: DataFrame) -> DataFrame:
     """By merchant and category, over whatever period ``silver`` holds."""
     score = F.col("merchant_risk_score")
     measures = _volume() | {
-        "merchant_risk_score": F.round(F.max(score), 6),
+        "merchant_risk_score": X.rounded(F.max(score), 6),
         # The tier that goes with the highest score, not the last one in the alphabet.
         "merchant_risk_tier": F.max_by("merchant_risk_tier", F.struct(score, F.col("merchant_risk_tier"))),
         "first_seen_date": F.min("dt"),

@@ -198,11 +198,11 @@ def _baseline_columns() -> dict[str, Column]:
     spread = F.when(n > 1, F.sqrt(F.greatest(scatter, F.lit(0.0)) / (n.cast("double") * (n - 1))) / 100.0)
     zscore = F.when(
         (n >= 3) & (spread > 0),
-        F.round((F.col("amount").cast("double") - mean) / F.when(spread > 0, spread), 4),
+        X.rounded((F.col("amount").cast("double") - mean) / F.when(spread > 0, spread), 4),
     )
     return {
-        "amount_mean_30d": F.round(mean, 4),
-        "amount_stddev_30d": F.round(spread, 4),
+        "amount_mean_30d": X.rounded(mean, 4),
+        "amount_stddev_30d": X.rounded(spread, 4),
         "prior_txn_count_30d": n,
         "amount_zscore_30d": zscore,
     }
@@ -239,8 +239,8 @@ def _geo_columns(prior: Column) -> dict[str, Column]:
     hours = F.when(elapsed > 0, elapsed / 3600.0)
     return {
         "seconds_since_prior_txn": elapsed,
-        "geo_distance_from_prior_km": F.round(distance, 3),
-        "implied_speed_kmh": F.when(elapsed > 0, F.round(distance / hours, 2)).when(
+        "geo_distance_from_prior_km": X.rounded(distance, 3),
+        "implied_speed_kmh": F.when(elapsed > 0, X.rounded(distance / hours, 2)).when(
             elapsed.isNotNull() & (distance > 1), F.lit(S.SAME_SECOND_SPEED_KMH)
         ),
         "device_change_flag": F.coalesce(prior["device_id"] != F.col("device_id"), F.lit(False)),

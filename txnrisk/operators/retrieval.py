@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnrisk.functions import scalars as X
+
 CHUNK_TOKENS = 300
 OVERLAP_PCT = 20
 TOP_K = 5
@@ -78,7 +80,7 @@ def _one_pass(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, item
     )
     order = Window.partitionBy(query_id).orderBy(F.desc("exact"), item_id)
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", item_id, F.round("exact", 4).alias("score"))
+    return ranked.select(query_id, "rank", item_id, X.rounded(F.col("exact"), 4).alias("score"))
 
 
 def citations(ranked: DataFrame, document: str, score: str = "score", rank: str = "rank") -> DataFrame:

@@ -28,7 +28,7 @@ def merchant_risk_scores(bronze: DataFrame, prior_weight: int = S.RISK_PRIOR_WEI
     score = (F.col("merchant_fraud_count") + overall * prior_weight) / (
         F.col("merchant_txn_count") + prior_weight
     )
-    return totals.withColumn("merchant_risk_score", F.round(score, 6)).withColumn(
+    return totals.withColumn("merchant_risk_score", X.rounded(score, 6)).withColumn(
         "merchant_risk_tier", X.risk_tier(F.col("merchant_risk_score"))
     )
 

@@ -115,10 +115,10 @@ def rule_scores(silver: DataFrame) -> DataFrame:
 
 def rule_models(silver: DataFrame) -> DataFrame:
     """Four deterministic scorers per transaction, one week being one run."""
-    amount = F.round(F.col("amount").cast("double") / 1000.0, 6)
+    amount = X.rounded(F.col("amount").cast("double") / 1000.0, 6)
     merchant = F.col("merchant_risk_score")
     signals = F.col("fraud_signal_count") / F.lit(4.0)
-    together = F.round((amount + merchant + signals) / 3.0, 6)
+    together = X.rounded((amount + merchant + signals) / 3.0, 6)
     scores = {"amount": amount, "merchant": merchant, "signals": signals, "ensemble": together}
     members = [F.struct(F.lit(n).alias("model_name"), s.alias("score")) for n, s in scores.items()]
     run = F.date_format(F.date_trunc("week", "dt"), "yyyy-MM-dd").alias("model_run_id")
@@ -259,7 +259,7 @@ def _online_state(t: Tables) -> DataFrame:
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(
-        *[F.round(f.name, digits).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name) for f in df.schema]
+        *[X.rounded(F.col(f.name), digits).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name) for f in df.schema]
     )
 
 

@@ -15,7 +15,7 @@ NOW = "1706659200.0"
 
 def rnd(x: str, digits: int) -> str:
     """Half-up rounding on decimals: rounding a binary double differs between engines."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
 def pct(part: str, whole: str, digits: int) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from txnrisk import schemas as S
 from txnrisk.functions import scalars as X
+from txnrisk.ml import ensemble as EN
 from txnrisk.ml import features as MF
 from txnrisk.operators import bronze as B
 from txnrisk.operators import evaluate as E
@@ -32,11 +33,15 @@ from txnrisk.operators import value as VL
 from txnrisk.plans import dashboards as D
 from txnrisk.plans import goldsql as GS
 from txnrisk.plans.fixture import raw_transactions
-from txnrisk.sources import scratch, writers
+from txnrisk.sources import readers, scratch, writers
+from txnrisk.streaming import bronze_stream, customer_state, landing, scoring
+from txnrisk.streaming.triggers import draining
 
 # --- fixed values: the events end on 2024-01-30 ------------------------------------------
 AS_OF = datetime(2024, 1, 31)
 FP_COST, FN_COST = 1.0, 20.0
+# Far fewer rounds than the defaults, so that one machine trains all members in a minute.
+QUICK = EN.Settings(rounds=5, forest_trees=10, isolation_trees=25, kernel_width=64, folds=2)
 # ----------------------------------------------------------------------------------------
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +55,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._staged: dict[str, DataFrame] = {}
+        self.training: EN.Training | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
@@ -58,6 +64,10 @@ class Tables:
             cls._built[key] = cls(spark, sf_dir)
         return cls._built[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._built.clear()
+
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -339,6 +349,75 @@ def _bronze_features(group: str) -> Callable[[Tables], DataFrame]:
     return query
 
 
+def _landed(t: Tables) -> str:
+    """The raw zone, filled by the landing stream from lines of JSON text."""
+    home = scratch.new_path(t.spark, "landing")
+    t.raw().select(F.to_json(F.struct(*S.RAW_COLUMNS)).alias("value")).write.text(f"{home}/lines")
+    lines = t.spark.readStream.schema("value STRING").text(f"{home}/lines")
+    arrival = X.instant(F.get_json_object("value", "$.ingest_timestamp"))
+    for query in landing.start(lines, arrival, f"{home}/raw", f"{home}/errors", f"{home}/checkpoint", once=True):
+        query.awaitTermination()
+    return home
+
+
+def _stream_landing(t: Tables) -> DataFrame:
+    landed = readers.raw_view(t.spark, f"{_landed(t)}/raw")
+    return landed.groupBy("ingest_dt").agg(
+        F.count("*").alias("records"), F.count("txn_timestamp").alias("with_time"), F.count("auth_response_code").alias("with_code")
+    )
+
+
+def _stream_bronze(t: Tables) -> DataFrame:
+    home = _landed(t)
+    bronze_stream.start(
+        t.spark, f"{home}/raw", f"{home}/bronze", f"{home}/quarantine", f"{home}/bronze_checkpoint", AS_OF, once=True
+    ).awaitTermination()
+    return portable(t.spark.read.schema(S.BRONZE).parquet(f"{home}/bronze").select(*S.BRONZE.fieldNames()))
+
+
+def _drained(t: Tables, frame: DataFrame, mode: str) -> DataFrame:
+    """What a stateful query emits over all that is there, as a table."""
+    home = scratch.new_path(t.spark, "stream")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")
+
+    with draining(t.spark):
+        query = (
+            frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+    query.awaitTermination()
+    return t.spark.read.parquet(f"{home}/rows")
+
+
+def _arriving(t: Tables) -> DataFrame:
+    return t.spark.readStream.schema(S.RAW).json(f"{_landed(t)}/raw").select(*S.RAW_COLUMNS)
+
+
+def _stream_customer_state(t: Tables) -> DataFrame:
+    events = O.readable_events(_arriving(t), X.instant(F.col("ingest_timestamp")))
+    states = _drained(t, customer_state.customer_states(events, _now()), "update")
+    newest = states.groupBy("customer_id").agg(F.max_by("events", "batch").alias("events"))
+    return newest.select("customer_id", state_text("events").alias("events"))
+
+
+def _training(t: Tables) -> EN.Training:
+    if t.training is None:
+        t.training = EN.train(t.silver(), QUICK)
+    return t.training
+
+
+def _stream_scores(t: Tables) -> DataFrame:
+    """Every readable raw event, scored on arrival with what was known of its customer."""
+    raw = B.clean_rows(_arriving(t), AS_OF)
+    events = raw.select(
+        "transaction_id", "customer_id", "channel", F.col("amount").cast("double").alias("amount"),
+        F.col("transaction_timestamp").cast("double").alias("t"), F.col("amount").cast("double").alias("a"),
+    )
+    return _drained(t, scoring.scored(events, _training(t).ensemble), "append").drop("batch")
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "raw_rows_per_day": lambda t: M.raw_rows_per_day(_raw_with_day(t)),
     "raw_fraud_mix": lambda t: M.raw_fraud_mix(_raw_with_day(t)),
@@ -418,6 +497,12 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "passage_chunks": lambda t: R.chunk(t.given("documents").select("doc_id", "source", "text")),
     "topk_cosine": _nearest,
     "citations": _cited,
+    "stream_landing": _stream_landing,
+    "stream_bronze": _stream_bronze,
+    "stream_customer_state": _stream_customer_state,
+    "ensemble_scores": lambda t: _training(t).scores,
+    "ensemble_metrics": lambda t: _training(t).metrics,
+    "stream_scores": _stream_scores,
 }
 
 

@@ -348,6 +348,10 @@ def _feature_matrix() -> str:
     return "SELECT transaction_id, " + ", ".join(made) + ", CAST(coalesce(is_fraud, FALSE) AS DOUBLE) AS label FROM silver"
 
 
+_STATE_TEXT = """SELECT customer_id,
+    string_agg(concat(CAST(round(t * 1000) AS BIGINT), ':', CAST(round(a * 100) AS BIGINT)), ',' ORDER BY t, a) AS events
+    FROM live GROUP BY customer_id"""
+
 _NEAREST = """
     WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label),
     scored AS (SELECT query_id, vec_id AS item_id, list_cosine_similarity(embedding::DOUBLE[], v) AS exact FROM embeddings, q),
@@ -563,11 +567,7 @@ def oracle_sql() -> dict[str, str]:
             "confirmed",
         ),
         "fraud_value_daily": _with("SELECT * FROM value", "value"),
-        "online_state": _with(
-            """SELECT customer_id, string_agg(concat(CAST(round(t * 1000) AS BIGINT), ':', CAST(round(a * 100) AS BIGINT)), ',' ORDER BY t, a) AS events
-               FROM live GROUP BY customer_id""",
-            "live",
-        ),
+        "online_state": _with(_STATE_TEXT, "live"),
         "online_features": _with(f"SELECT customer_id, txn_count_1h, txn_count_24h, prior_txn_count_30d, {online} FROM online", "online"),
         "layered_features": _with(
             f"""SELECT * REPLACE ({rnd('amount_zscore_30d', 4)} AS amount_zscore_30d, {rnd('amount_sum_1h', 4)} AS amount_sum_1h,
@@ -615,6 +615,13 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT *, unnest(range(0, CAST(greatest(ceil((n - 300) / 240.0), 0) AS BIGINT) + 1)) AS k FROM n)
             SELECT doc_id, source, CAST(k AS INT) AS chunk_no, array_to_string(words[k * 240 + 1 : k * 240 + 300], ' ') AS chunk,
                    CAST(len(words[k * 240 + 1 : k * 240 + 300]) AS INT) AS n_tokens FROM s""",
+        "stream_landing": _with(
+            f"""SELECT {early_day} AS ingest_dt, count(*) AS records, count(timestamp) AS with_time,
+                count(auth_response_code) AS with_code FROM raw GROUP BY 1""",
+            "raw",
+        ),
+        "stream_bronze": _with(f"{_BRONZE_OUT} bronze", "bronze"),
+        "stream_customer_state": _with(_STATE_TEXT, "live"),
         "topk_cosine": _NEAREST + "SELECT * FROM nearest",
         "citations": _NEAREST
         + """SELECT query_id, rank, concat('[', rank, '] source: ', coalesce(source, 'null')) AS marker, score

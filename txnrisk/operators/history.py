@@ -9,12 +9,13 @@ window is a running sum over *changes* instead:
    frames are in whole seconds and include or exclude a second's rows together;
 2. a cell is worth ``+v`` from the second it enters a frame and ``-v`` from the second it
    leaves it, and the running total of those changes at any second is the frame's sum;
-3. the running totals are taken per (customer, 60-day block). An entry still open at a block's
-   end is carried to the next block's first second, so blocks are independent tasks.
+3. running totals are taken per (customer, 5-day block), and each block starts from the sum of
+   the customer's earlier blocks, which is found over one row per block.
 
-A task's group is then bounded by the clock (one cell a second, 60 days) and not by the number
-of transactions, and the work is linear. Distinct merchants use the same sum: a merchant is
-worth 1 from a visit until 24 hours after it, its visits of one day merged beforehand.
+A task's group is then bounded by the clock (one cell a second, 5 days) and not by the number
+of transactions, the work is linear, and one customer's history is spread over many tasks.
+Distinct merchants use the same sum: a merchant is worth 1 from a visit until 24 hours after it,
+its visits of one day merged beforehand.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from txnrisk import schemas as S
 from txnrisk.functions import scalars as X
 
 KEY = "customer_id"
-BLOCK_SECONDS = 2 * S.MONTH
+BLOCK_SECONDS = 5 * S.DAY
 
 
 @dataclass(frozen=True)
@@ -87,87 +88,73 @@ def _merchant_presences(df: DataFrame) -> DataFrame:
     return days.select(KEY, "from", until.alias("to"))
 
 
-def _changes(code: Column, opens: Column, closes: Column) -> list[Column]:
-    """Entry and exit of one span within the current block, NULL where they fall outside."""
-    start = F.col("block") * BLOCK_SECONDS
-    end = start + BLOCK_SECONDS
+def _spread(df: DataFrame, moments: list[tuple[Column, int, int]]) -> DataFrame:
+    """A row per change: ``at``, ``frame`` and ``sign`` beside the columns of ``df``.
 
-    def change(at: Column, sign: int) -> Column:
-        return F.struct(at.alias("at"), code.cast("tinyint").alias("frame"), F.lit(sign).cast("tinyint").alias("sign"))
-
-    here = (opens < end) & (closes >= start)
-    entry = F.when(here, change(F.greatest(opens, start), 1))
-    leave = F.when(here & (closes + 1 < end), change(closes + 1, -1))
-    return [entry, leave]
-
-
-def _per_block(df: DataFrame, opens: Column, closes: Column) -> DataFrame:
-    """A row for each block the span touches (one or two: a span is shorter than a block)."""
-    blocks = F.array_distinct(F.array(_block(opens), _block(closes)))
-    return df.withColumn("block", F.explode(blocks))
+    Rows cross the network once per block they change, not once per change; the fan-out follows
+    in the task that adds up. Neither projection nor explode disturbs the partitioning.
+    """
+    blocks = F.array_distinct(F.array(*[_block(at) for at, _, _ in moments]))
+    changes = [
+        F.when(
+            _block(at) == F.col("block"),
+            F.struct(
+                at.alias("at"), F.lit(frame).cast("tinyint").alias("frame"), F.lit(sign).cast("tinyint").alias("sign")
+            ),
+        )
+        for at, frame, sign in moments
+    ]
+    placed = df.withColumn("block", F.explode(blocks)).where(F.col("block") <= _block(F.col("end")))
+    return (
+        placed.drop("end")
+        .repartition(KEY, "block")
+        # A filter after the explode, not array_compact before it, which would not be compiled.
+        .withColumn("change", F.explode(F.array(*changes)))
+        .where("change IS NOT NULL")
+        .select("*", "change.*")
+        .drop("change")
+    )
 
 
 def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFrame:
     """Per (customer, second): for each frame ``n_<code>``, ``cents_<code>``,
     ``squares_<code>``, and with ``merchants`` also ``n_4``."""
-    reach = max(frame.closes for frame in frames)
-    cells = _per_block(_cells(df), F.col("second"), F.col("second") + reach)
-    moves = []
+    # Nothing is asked about after the last row, so what leaves a frame later is not moved.
+    end = df.agg(F.max(X.whole_second(F.col("transaction_timestamp")))).scalar().alias("end")
+    second = F.col("second")
+    moments = [(second, 0, 0)]
     for frame in frames:
-        moves += _changes(
-            F.lit(frame.code), F.col("second") + frame.opens, F.col("second") + frame.closes
-        )
-    own = F.when(
-        F.col("block") == _block(F.col("second")),
-        F.struct(
-            F.col("second").alias("at"), F.lit(0).cast("tinyint").alias("frame"), F.lit(0).cast("tinyint").alias("sign")
-        ),
-    )
-    # Cells cross the network as they are and fan out into changes afterwards, in the task
-    # that adds them up: neither projection nor explode disturbs the partitioning.
-    changes = (
-        cells.repartition(KEY, "block")
-        .withColumn("change", F.explode(F.array_compact(F.array(own, *moves))))
-        .select(KEY, "block", "change.at", "change.frame", "change.sign", "n", "cents", "squares")
-    )
+        moments += [(second + frame.opens, frame.code, 1), (second + frame.closes + 1, frame.code, -1)]
+    shared = [KEY, "block", "at", "frame", "sign", "n", "cents", "squares"]
+    changes = _spread(_cells(df).select("*", end), moments).select(*shared)
     if merchants:
-        spans = _per_block(_merchant_presences(df), F.col("from"), F.col("to"))
-        visits = (
-            spans.repartition(KEY, "block")
-            .withColumn(
-                "change",
-                F.explode(F.array_compact(F.array(*_changes(F.lit(MERCHANT), F.col("from"), F.col("to"))))),
-            )
-            .select(
-                KEY,
-                "block",
-                "change.at",
-                "change.frame",
-                "change.sign",
-                F.lit(1).cast("long").alias("n"),
-                F.lit(0).cast("long").alias("cents"),
-                F.lit(0).cast("decimal(38,0)").alias("squares"),
-            )
+        visits = _merchant_presences(df).select(
+            "*",
+            F.lit(1).cast("long").alias("n"),
+            F.lit(0).cast("long").alias("cents"),
+            F.lit(0).cast("decimal(38,0)").alias("squares"),
+            end,
         )
-        changes = changes.unionByName(visits)
-
-    running = (
-        Window.partitionBy(KEY, "block")
-        .orderBy("at")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-
-    def total(code: int, value: str) -> Column:
-        signed = F.when(F.col("frame") == code, F.col(value) * F.col("sign"))
-        return F.coalesce(F.sum(signed).over(running), F.lit(0)).alias(f"{value}_{code}")
-
-    wanted = [total(frame.code, value) for frame in frames for value in _values(frame)]
-    if merchants:
-        wanted.append(total(MERCHANT, "n"))
-    return (
-        changes.select(KEY, F.col("at").alias("second"), "frame", *wanted)
-        .where(F.col("frame") == 0)
-        .drop("frame")
+        spans = [(F.col("from"), MERCHANT, 1), (F.col("to") + 1, MERCHANT, -1)]
+        changes = changes.unionByName(_spread(visits, spans).select(*shared))
+
+    wanted = [(frame.code, value) for frame in frames for value in _values(frame)]
+    wanted += [(MERCHANT, "n")] if merchants else []
+
+    def signed(code: int, value: str) -> Column:
+        return F.sum(F.when(F.col("frame") == code, F.col(value) * F.col("sign")))
+
+    inside = Window.partitionBy(KEY, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"{value}_{code}" for code, value in wanted]
+    blocks = changes.groupBy(KEY, "block").agg(*[signed(*w).alias(n) for w, n in zip(wanted, names, strict=True)])
+    opening = blocks.select(KEY, "block", *[F.sum(n).over(before).alias(f"before_{n}") for n in names])
+    running = changes.select(
+        KEY, "block", F.col("at").alias("second"), "frame", *[signed(*w).over(inside).alias(n) for w, n in zip(wanted, names, strict=True)]
+    ).where(F.col("frame") == 0)
+    zero = F.lit(0)
+    return running.join(opening, [KEY, "block"]).select(
+        KEY, "second", *[(F.coalesce(n, zero) + F.coalesce(f"before_{n}", zero)).alias(n) for n in names]
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from pyspark.ml.classification import (
@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCAModel, StandardScalerModel
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +105,9 @@ class Ensemble:
             "lightgbm": self.lightgbm,
             "xgboost": self.xgboost,
             "random_forest": self.random_forest,
-            "svm_scaler": self.svm.scaler,
             "svm_margin": self.svm.margin,
             "svm_calibration": self.svm.calibration,
-            "autoencoder_scaler": self.autoencoder.scaler,
             "autoencoder_plane": self.autoencoder.plane,
-            "explanation_scaler": self.explanation.scaler,
             "explanation_surrogate": self.explanation.surrogate,
         }
 
@@ -128,6 +125,11 @@ class Ensemble:
             "threshold": self.threshold,
             "feature_names": list(self.feature_names),
             "models": {name: f"{run_id}/{name}" for name in [*self._models(), "isolation_forest"]},
+            "scaling": {
+                "svm": asdict(self.svm.scaler),
+                "autoencoder": asdict(self.autoencoder.scaler),
+                "explanation": asdict(self.explanation.scaler),
+            },
             "svm": {"width": self.svm.width, "seed": self.svm.seed},
             "isolation_forest": {"low": self.isolation_forest.low, "high": self.isolation_forest.high},
             "autoencoder": {"low": self.autoencoder.low, "high": self.autoencoder.high},
@@ -141,9 +143,10 @@ class Ensemble:
         line = spark.read.schema("model_run_id STRING, manifest STRING").json(f"{base}/latest").first()
         manifest = json.loads(line["manifest"])
         at = {name: f"{base}/{where}" for name, where in manifest["models"].items()}
+        scaling = {name: M.Scaling(**values) for name, values in manifest["scaling"].items()}
         nodes = [tuple(row) for row in spark.read.schema(NODE_DDL).parquet(at["isolation_forest"]).collect()]
         svm = M.KernelMargin(
-            StandardScalerModel.load(at["svm_scaler"]),
+            scaling["svm"],
             LinearSVCModel.load(at["svm_margin"]),
             LogisticRegressionModel.load(at["svm_calibration"]),
             **manifest["svm"],
@@ -155,12 +158,12 @@ class Ensemble:
             svm,
             IsolationForest(nodes, **manifest["isolation_forest"]),
             M.Reconstruction(
-                StandardScalerModel.load(at["autoencoder_scaler"]),
+                scaling["autoencoder"],
                 PCAModel.load(at["autoencoder_plane"]),
                 **manifest["autoencoder"],
             ),
             M.Explanation(
-                StandardScalerModel.load(at["explanation_scaler"]),
+                scaling["explanation"],
                 LogisticRegressionModel.load(at["explanation_surrogate"]),
             ),
             manifest["threshold"],

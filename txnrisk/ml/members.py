@@ -21,8 +21,9 @@ from pyspark.ml.classification import (
     LogisticRegressionModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,33 @@ def probability(model: Model, df: DataFrame, name: str) -> DataFrame:
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
-def standardise(rows: DataFrame) -> StandardScalerModel:
-    return StandardScaler(inputCol=VECTOR, outputCol="z", withMean=True, withStd=True).fit(rows)
+@dataclass(frozen=True)
+class Scaling:
+    """Standardised features as ``z``. A feature that never varies in the fitted rows keeps its
+    unit: one that is constant among legitimate rows and moves in fraud is the best sign there
+    is, and MLlib's scaler would turn it into a constant 0."""
+
+    mean: list[float]
+    spread: list[float]
+
+    @classmethod
+    def fit(cls, rows: DataFrame) -> Scaling:
+        summary = Summarizer.metrics("mean", "std").summary(F.col(VECTOR))
+        mean, spread = rows.select(summary.alias("s")).select("s.mean", "s.std").first()
+        return cls([float(m) for m in mean], [float(d) if d > 0 else 1.0 for d in spread])
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        scaled = F.zip_with(vector_to_array(VECTOR), _array(self.mean), lambda x, m: x - m)
+        return df.withColumn("z", array_to_vector(F.zip_with(scaled, _array(self.spread), lambda x, d: x / d)))
+
+
+def _array(values: list[float]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 @dataclass(frozen=True)
 class KernelMargin:
-    scaler: StandardScalerModel
+    scaler: Scaling
     margin: LinearSVCModel
     calibration: LogisticRegressionModel
     width: int
@@ -94,8 +115,8 @@ class KernelMargin:
 
     @classmethod
     def fit(cls, train: DataFrame, width: int, seed: int, steps: int = 50) -> KernelMargin:
-        scaler = standardise(train)
-        lifted = cls.lifted(scaler.transform(train), width, seed)
+        scaler = Scaling.fit(train)
+        lifted = cls.lifted(scaler.apply(train), width, seed)
         margin = LinearSVC(
             featuresCol="k", labelCol="label", weightCol=BALANCED, maxIter=steps, regParam=1e-4, rawPredictionCol="raw"
         ).fit(lifted)
@@ -106,7 +127,7 @@ class KernelMargin:
         return cls(scaler, margin, calibration, width, seed)
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
-        lifted = self.lifted(self.scaler.transform(df), self.width, self.seed)
+        lifted = self.lifted(self.scaler.apply(df), self.width, self.seed)
         judged = self.calibration.transform(self.margin.transform(lifted).drop("prediction"))
         return judged.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
@@ -116,15 +137,15 @@ class Reconstruction:
     """Distance of a row from the plane normal rows lie on; ``low`` and ``high`` are the errors
     of the training rows' 1st and 99th percentile."""
 
-    scaler: StandardScalerModel
+    scaler: Scaling
     plane: PCAModel
     low: float = 0.0
     high: float = 1.0
 
     @classmethod
     def fit(cls, legitimate: DataFrame) -> Reconstruction:
-        scaler = standardise(legitimate)
-        plane = PCA(k=BOTTLENECK, inputCol="z", outputCol="p").fit(scaler.transform(legitimate))
+        scaler = Scaling.fit(legitimate)
+        plane = PCA(k=BOTTLENECK, inputCol="z", outputCol="p").fit(scaler.apply(legitimate))
         raw = cls(scaler, plane)
         errors = raw._errors(legitimate)
         marks = errors.agg(F.percentile_approx("error", [ERROR_LOW, ERROR_HIGH], 100_000)).first()[0]
@@ -132,7 +153,7 @@ class Reconstruction:
 
     def _errors(self, df: DataFrame) -> DataFrame:
         """The components are orthonormal, so what the plane misses is |z|^2 - |p|^2."""
-        projected = self.plane.transform(self.scaler.transform(df))
+        projected = self.plane.transform(self.scaler.apply(df))
 
         def length(vector: str) -> Column:
             return F.aggregate(vector_to_array(vector), F.lit(0.0), lambda total, v: total + v * v)
@@ -151,25 +172,25 @@ class Reconstruction:
 class Explanation:
     """Why a score is high: a logistic surrogate's largest positive terms."""
 
-    scaler: StandardScalerModel
+    scaler: Scaling
     surrogate: LogisticRegressionModel
 
     @classmethod
     def fit(cls, train: DataFrame) -> Explanation:
-        scaler = standardise(train)
+        scaler = Scaling.fit(train)
         surrogate = LogisticRegression(
             featuresCol="z", labelCol="label", weightCol=BALANCED, regParam=1e-3, maxIter=50
-        ).fit(scaler.transform(train))
+        ).fit(scaler.apply(train))
         return cls(scaler, surrogate)
 
     def factors(self, df: DataFrame, name: str) -> DataFrame:
         weights = [float(c) for c in self.surrogate.coefficients]
         terms = F.arrays_zip(
-            F.zip_with(vector_to_array("z"), F.array(*[F.lit(w) for w in weights]), lambda z, w: z * w).alias("term"),
+            F.zip_with(vector_to_array("z"), _array(weights), lambda z, w: z * w).alias("term"),
             F.array(*[F.lit(n) for n in NAMES]).alias("name"),
         )
         raising = F.filter(terms, lambda t: t["term"] > 0)
         largest = F.slice(F.sort_array(raising, asc=False), 1, TOP_FACTORS)
         told = F.array_join(F.transform(largest, lambda t: t["name"]), ", ")
         explained = F.when(F.size(raising) > 0, told).otherwise("none")
-        return self.scaler.transform(df).select(*df.columns, explained.alias(name))
+        return self.scaler.apply(df).select(*df.columns, explained.alias(name))

@@ -14,7 +14,7 @@ os.environ["TZ"] = "UTC"
 time.tzset()
 
 
-def make_session(master: str = "local[4]", partitions: str = "4") -> SparkSession:
+def make_session(master: str = "local[8]", partitions: str = "2") -> SparkSession:
     spark = (
         SparkSession.builder.master(master)
         .appName("txnrisk-tests")

@@ -24,13 +24,23 @@ def _histogram(scored: DataFrame, by: list[str], bin_: Column, label: str) -> Da
     )
 
 
+def _cuts_reached(score: Column) -> Column:
+    """How many cut points are at or below ``score``. The product with 100 can miss by one, so
+    it is checked against the very doubles the cut points are."""
+    guess = F.floor(score * 100)
+    cut = (
+        F.when(score >= (guess + 1) / F.lit(100.0), guess + 1)
+        .when(score < guess / F.lit(100.0), guess - 1)
+        .otherwise(guess)
+    )
+    below = FIRST_CUT - 1
+    return F.coalesce(F.greatest(F.least(cut, F.lit(LAST_CUT)), F.lit(below)) - below, F.lit(0))
+
+
 def _cut_table(scored: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Per model and cut point: tp, fp, fn of "score >= cut". One pass over the rows; the cut
     points come from a bounded sequence, so also those no score falls between are present."""
-    # Comparing with the same doubles the cut points are: a bin is the number of cuts reached.
-    cuts = F.array(*[F.lit(c / 100.0) for c in range(FIRST_CUT, LAST_CUT + 1)])
-    reached = F.size(F.filter(cuts, lambda c: F.col(score) >= c))
-    bins = _histogram(scored, by, reached, label)
+    bins = _histogram(scored, by, _cuts_reached(F.col(score)), label)
     by_model = bins.groupBy(*by).agg(
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.collect_list(F.struct("bin", "pos", "neg")).alias("bins")
     )

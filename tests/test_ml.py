@@ -96,3 +96,28 @@ def test_a_tree_isolates_the_outlier_first():
         depth.append((path(points[-1]), np.mean([path(p) for p in points[:50]])))
     lone, usual = np.mean(depth, axis=0)
     assert lone < usual / 2 and expected_path(256) == pytest.approx(10.244, abs=1e-2)
+
+
+def test_model_job_publishes_scores_metrics_models_and_value(spark, folder):
+    from datetime import datetime
+
+    from txnrisk.plans import driver
+    from txnrisk.plans import medallion as P
+
+    lake = P.Lake(folder)
+    driver.Tables.of(spark, "/root/testdata/sf0.001").silver().write.partitionBy("dt").parquet(lake.path("silver"))
+    confirmed = spark.createDataFrame([("T1", False, "2024-02-01"), ("T2", True, "2024-02-01"), ("NONE", True, "2024-02-01")], "transaction_id string, confirmed_is_fraud boolean, confirmed_at string")
+    confirmed.write.json(lake.path("feedback"))
+    as_of = datetime(2024, 1, 31)
+    quick = EN.Settings(rounds=2, forest_trees=3, isolation_trees=5, kernel_width=16, folds=0)
+    P.run_model(spark, lake, as_of, "run-1", quick)
+    rows = spark.read.parquet(lake.path("silver")).count()
+    scores = spark.read.parquet(lake.path("transaction_risk_scores"))
+    assert scores.count() == rows and scores.select("model_run_id").distinct().count() == 1
+    metrics = spark.read.parquet(lake.path("model_metrics"))
+    assert metrics.count() == 7
+    first = metrics.first()
+    assert (first["feedback_rows"], first["feedback_labels_confirmed"], first["training_rows"]) == (3, 2, rows)
+    value = spark.read.parquet(lake.path("fraud_value_daily"))
+    assert value.agg(F.sum("transaction_count")).first()[0] == rows
+    assert EN.Ensemble.load(spark, lake.path("models")).score(spark.read.parquet(lake.path("silver"))).count() == rows

@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.ml import ensemble as EN
 from txnrisk.operators import bronze as B
 from txnrisk.operators import feedback as FB
 from txnrisk.operators import gold as G
@@ -97,6 +98,26 @@ def labelled_silver(spark: SparkSession, lake: Lake, as_of: date) -> DataFrame:
     return FB.apply_feedback(readers.model_input(recent), readers.feedback(spark, lake.path("feedback")))
 
 
+def run_model(
+    spark: SparkSession, lake: Lake, as_of: datetime, run_id: str, settings: EN.Settings = EN.Settings()
+) -> EN.Training:
+    """Train on the last month with confirmed labels, publish scores and metrics, save the models,
+    and price the days that were scored."""
+    recent = readers.recent(spark.read.parquet(lake.path("silver")), as_of.date(), readers.SILVER_LOOKBACK_DAYS)
+    feedback = readers.feedback(spark, lake.path("feedback"))
+    stats = FB.feedback_stats(recent, feedback).first().asDict()
+    labelled = scratch.stage(labelled_silver(spark, lake, as_of.date()), "labelled")
+    training = EN.train(labelled, settings)
+    writers.upsert_table(
+        EN.stamped_scores(training, run_id, as_of), lake.path("transaction_risk_scores"), ["transaction_id"]
+    )
+    history = EN.stamped_metrics(training, run_id, as_of, labelled.count(), stats)
+    writers.append(history, lake.path("model_metrics"), partition_by=None)
+    training.ensemble.save(spark, lake.path("models"), run_id)
+    run_value(spark, lake, run_id, as_of)
+    return training
+
+
 def check(spark: SparkSession, lake: Lake, layer: str, table: str, rules: list[Q.Rule]) -> dict:
     """Evaluate, store the report, and read the verdict back from what was stored."""
     outcomes = scratch.stage(Q.evaluate(spark.read.parquet(lake.path(table)), layer, rules), "quality")

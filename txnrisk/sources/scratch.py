@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -21,9 +22,10 @@ def root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="spark-")
+    return _local[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
 from txnrisk.llm import url_filter as UF
 from txnrisk.llm.common import given
@@ -20,17 +21,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = SS.secret_scan(given(spark, sf_dir, "documents").select("doc_id", "text"))
-    of_kind = {k: F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in ("assign", "access", "hex")}
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return scanned.select(
         "doc_id",
-        *[n.alias(f"n_{k}") for k, n in of_kind.items()],
+        *[number(kind) for kind in ("assign", "access", "hex")],
         F.sha2(SS.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
         SS.spans_text(F.col("all_spans")).alias("spans"),
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PK.pack(given(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan}
+    return {"op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op5_best_fit_packing": op5_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
+from txnrisk.llm import simhash as SH
 from txnrisk.llm import url_filter as UF
 from txnrisk.llm.common import given
 
@@ -37,8 +38,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PK.pack(given(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = SH.near_duplicates(given(spark, sf_dir, "documents"))
+    return found.select("doc_id", SH.hex_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op10_simhash": op10_simhash,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op5_best_fit_packing": op5_best_fit_packing}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.llm import language_id as LI
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
 from txnrisk.llm import simhash as SH
+from txnrisk.llm import toxicity as TX
 from txnrisk.llm import url_filter as UF
 from txnrisk.llm.common import given
 
@@ -34,10 +36,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    return LI.language_id(docs, LI.train(docs))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PK.pack(given(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    return TX.toxicity(docs, TX.train(docs, given(spark, sf_dir, "labels")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = SH.near_duplicates(given(spark, sf_dir, "documents"))
     return found.select("doc_id", SH.hex_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -46,7 +58,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }
 

@@ -46,7 +46,7 @@ class WordIds:
     white space is a matter of opinion, or which could spell a special token, goes to the tokenizer whole.
     """
 
-    KNOWN_WORDS = 600_000  # words kept for lookup; further ones are encoded each time they are met
+    KNOWN_WORDS = 1_000_000  # words kept for lookup; further ones are encoded each time they are met
 
     def __init__(self, path: str):
         import regex
@@ -59,14 +59,30 @@ class WordIds:
     def of(self, texts: list[str]) -> list[bytes]:
         split = [None if self.doubtful.search(t) else t.split() for t in texts]
         known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        here = dict(zip(new, self._words(new), strict=True))
-        if len(known) + len(here) <= self.KNOWN_WORDS:
-            known.update(here)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) or here[w]
-        return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        new = list(set().union(*(words for words in split if words)).difference(known))
+        added = self._learn(new)
+        out = [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        if len(known) > self.KNOWN_WORDS:
+            for word in added:
+                del known[word]
+        return out
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Enter the words; a Latin word with a comma or full stop behind it, or capitals, goes by its plain form."""
+        plain = [self._plain(w) for w in new]
+        wanted = [w for w in dict.fromkeys(x for pair in plain for x in pair if x) if w not in self.known]
+        self.known.update(zip(wanted, self._words(wanted), strict=True))
+        known = self.known
+        extra = [w for w in new if w not in known]
+        known.update((w, b"".join(known[x] for x in pair if x)) for w, pair in zip(new, plain, strict=True) if w not in known)
+        return wanted + extra
+
+    @staticmethod
+    def _plain(word: str) -> tuple[str, str]:
+        core, mark = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
+        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+            return core.lower(), mark
+        return word, ""
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

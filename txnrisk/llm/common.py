@@ -84,3 +84,37 @@ class Ranges:
 def comparable(key) -> tuple:
     """Spark compares strings by their UTF-8 bytes."""
     return tuple(v.encode("utf-8") if isinstance(v, str) else v for v in key)
+
+
+def spread(df: DataFrame, columns: list[str], ranges: Ranges) -> DataFrame:
+    """``df`` dealt by range and sorted by ``columns`` within it, with ``range`` and ``halo``.
+
+    Every range also gets copies of the row before its first (halo -1, sorted first) and of the row
+    after its last (halo 1, sorted last); the row after the very last is the very first, and the
+    other way round.
+    """
+    n = len(ranges)
+    # an end key -> the ranges that see it from outside
+    outside: dict[tuple, list[tuple[int, int]]] = {}
+    for i in range(n):
+        outside.setdefault(ranges.first[i], []).append(((i - 1) % n, 1))
+        outside.setdefault(ranges.last[i], []).append(((i + 1) % n, -1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            rows_at, to, halo = [], [], []
+            for row, key in enumerate(comparable(k) for k in keys):
+                places = [(ranges.range_of(key), 0), *outside.get(key, ())]
+                for place, side in places:
+                    rows_at.append(row)
+                    to.append(place)
+                    halo.append(side)
+            taken = batch.take(pa.array(rows_at, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(to, pa.int32()), pa.array(halo, pa.int32())], names=[*batch.schema.names, "range", "halo"]
+            )
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    dealt = df.mapInArrow(deal, f"{fields}, range int, halo int")
+    return dealt.repartition(max(1, n), "range").sortWithinPartitions("range", "halo", *columns)

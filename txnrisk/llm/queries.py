@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import language_id as LI
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
@@ -50,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TX.toxicity(docs, TX.train(docs, given(spark, sf_dir, "labels")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.fingerprinted(given(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = SH.near_duplicates(given(spark, sf_dir, "documents"))
     return found.select("doc_id", SH.hex_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import fingerprints as FP
+from txnrisk.llm import html_extract as HX
 from txnrisk.llm import language_id as LI
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
@@ -46,6 +47,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PK.pack(given(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HX.extract(given(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     return TX.toxicity(docs, TX.train(docs, given(spark, sf_dir, "labels")))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_extract": op6_html_extract,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,

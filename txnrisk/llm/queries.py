@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.llm import decontaminate as DC
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
 from txnrisk.llm import language_id as LI
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
+from txnrisk.llm import sharding as SD
 from txnrisk.llm import simhash as SH
 from txnrisk.llm import toxicity as TX
 from txnrisk.llm import url_filter as UF
@@ -20,6 +22,10 @@ from txnrisk.llm.common import given
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DC.leaks(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return UF.url_filter(given(spark, sf_dir, "pages"))
 
@@ -51,6 +57,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HX.extract(given(spark, sf_dir, "pages"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SD.sharded(given(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     return TX.toxicity(docs, TX.train(docs, given(spark, sf_dir, "labels")))
@@ -66,11 +76,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_html_extract": op6_html_extract,
+    "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,

@@ -15,6 +15,7 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,28 +142,58 @@ def leaks(
     each come out, items with the same id and text are one item, empty tables give an empty one, other
     columns are not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    items = items.where(F.trim(F.coalesce("text", F.lit(""))) != "").distinct()
-    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((docs, id_col), (benchmark, item_col))}
     types = {c: {"bigint": pa.int64(), "int": pa.int32()}.get(k, pa.string()) for c, k in kinds.items()}
     names = [id_col, item_col, "distance", "allowed", "end", "item_chars"]
+    schema = f"{id_col} {kinds[id_col]}, {item_col} {kinds[item_col]}, distance int, allowed int, end long, item_chars int"
 
-    def one_pass(block: int) -> DataFrame:
-        of_block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(sorted({(r["item"], normal(r["text"])) for r in of_block if normal(r["text"])}, key=str))
-
+    def one_pass(block: Broadcast) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value, share)
+            finder = Finder(block.value, share)
             for ids, texts in rows(batches):
                 out = [(name, *found) for name, text in zip(ids, texts, strict=True) for found in finder.leaks(normal(text))]
                 columns = list(zip(*out, strict=True)) or [()] * len(names)
                 kind = [types[id_col], types[item_col], pa.int32(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind, strict=True)], names=names)
 
-        schema = f"{id_col} {kinds[id_col]}, {item_col} {kinds[item_col]}, distance int, allowed int, end long, item_chars int"
         return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(search, schema)
 
-    return reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, map(one_pass, item_blocks(benchmark, item_col, item_text_col, block_chars)))
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[Broadcast]:
+    """The items with text, normalised, in broadcasts of about ``block_chars`` characters, at least one."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = items.where(F.trim(F.coalesce("text", F.lit(""))) != "").distinct()
+    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for block in range(blocks):
+        of_block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        named = sorted({(r["item"], normal(r["text"])) for r in of_block if normal(r["text"])}, key=str)
+        yield benchmark.sparkSession.sparkContext.broadcast(named)
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    share: float = SHARE,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they are: a filter, no join.
+
+    One pass over what the passes before it kept for each block of items.
+    """
+
+    def filtered(kept: DataFrame, block: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(block.value, share)
+            for batch in batches:
+                texts = (t for part in rows(iter([batch.select([text_col])])) for t in part[0])
+                yield batch.filter(pa.array([next(finder.leaks(normal(t)), None) is None for t in texts], pa.bool_()))
+
+        return kept.mapInArrow(search, docs.schema)
+
+    return reduce(filtered, item_blocks(benchmark, item_col, item_text_col, block_chars), docs)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrisk.llm.common import rows, stage
 from txnrisk.llm.components import components
@@ -53,16 +54,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; ``fp`` is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keys`` columns and ``fp``, the fingerprint as a signed 64-bit number, per row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t) for part in rows(iter([batch.select([1])])) for t in part[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=[id_col, "fp"])
+            prints = [fingerprint(t) for part in rows(iter([batch.select([len(keys)])])) for t in part[0]]
+            fp = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*keys, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(hashed, f"{id_col} {kind}, fp long")
+    schema = T.StructType([*docs.select(*keys).schema.fields, T.StructField("fp", T.LongType())])
+    return docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(hashed, schema)
 
 
 def hex_text(fp: Column) -> Column:
@@ -228,6 +230,17 @@ def links(filed_rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return filed_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verified, "a long, b long")
 
 
+def rooted(marked: DataFrame, least: Column, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, least) for every distinct fingerprint: its component and its rows' smallest ``least``."""
+    unique = stage(marked.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    total = unique.count()
+    chosen = unique.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    plan = filing_plan(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), total, distance)
+    found = components(links(filed(unique, plan, distance), distance))
+    known = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return stage(known.select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document: id, ``fp`` and ``component_id``, the smallest id reachable over links.
 
@@ -235,15 +248,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows each come out; a null id is never the smallest unless there is no other, an empty
     table gives an empty one, and other columns are not read.
     """
-    spark = docs.sparkSession
-    marked = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    unique = stage(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    total = unique.count()
-    chosen = unique.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    plan = filing_plan(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), total, distance)
-    found = components(links(filed(unique, plan, distance), distance))
-    known = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    known = stage(known, "rooted")
+    marked = stage(fingerprints(docs, [id_col], text_col), "fingerprints")
+    known = rooted(marked, F.col(id_col), distance)
     component = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = known.join(component, "root").select("fp", "component_id")
     return marked.join(of_print, "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id.
+
+    Rows with a null id come after all others; of rows with one id the one whose text has the smaller
+    hash stays, of equal rows one. Columns stay as they are. The texts are shuffled once, against a
+    table of the kept rows' keys.
+    """
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col), F.lit(0)), "_hash": hashed})
+    keys = ["_none", "_id", "_hash"]
+    marked = stage(fingerprints(keyed, keys, text_col), "fingerprints")
+    known = rooted(marked, F.struct(*keys), distance)
+    kept = known.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -147,3 +147,16 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     asked = docs.select(F.col(id_col), (id_bucket(id_col, 5) == 0).alias("held_out"), F.col(text_col).alias("text"))
     return asked.mapInArrow(scored, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, all columns as they are, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.scaled, model.intercept, model.settings))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Model(*shared.value)
+        for batch in batches:
+            texts = batch.select([text_col])
+            yield batch.filter(pa.array([judge.score(t) < threshold for part in rows(iter([texts])) for t in part[0]], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

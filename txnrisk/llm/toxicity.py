@@ -2,8 +2,9 @@
 
 A text's features are the n-grams it holds, once each. The log ratio of an n-gram's share among
 toxic texts to its share among the others scales its feature, the scaled vector is brought to unit
-length, and a logistic regression learns a weight for each. The model is learnt from a bounded
-sample of labelled rows, whose size is a parameter, in one task; scoring reads every whole text.
+length, and a logistic regression learns a weight for each; models of parts of the sample judge the
+rest of it to calibrate the scores. The model is learnt from a bounded sample of labelled rows,
+whose size is a parameter, in one task; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from txnrisk.llm.ngrams import grams
 
 @dataclass(frozen=True)
 class Settings:
-    orders: tuple[int, ...] = (4, 5, 6)
+    orders: tuple[int, ...] = (4, 5, 6, 7)
     bits: int = 20  # n-grams share 2**bits buckets: the bound of everything the model holds
     per_class: int = 3000  # labelled rows of either class that the model is learnt from, at most
     smoothing: float = 1.0
-    least_texts: int = 4  # an n-gram in fewer sampled texts is not a feature
-    least_ratio: float = 0.7  # nor is one whose log ratio is smaller
+    least_texts: int = 6  # an n-gram in fewer sampled texts is not a feature
+    least_ratio: float = 1.5  # nor is one whose log ratio is smaller
     epochs: int = 6
     rate: float = 0.5
     shrink: float = 1e-5
+    folds: int = 3  # of the sample, each judged by a model of the others, to calibrate the scores
 
 
 @dataclass
@@ -52,13 +54,11 @@ class Model:
         return self.intercept + (self.scaled[found].astype(float).sum() / length if len(found) else 0.0)
 
 
-def learn(texts: list[np.ndarray], toxic: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(bucket, ratio, weight times ratio), intercept. ``texts``: distinct buckets of each; ``prior``: the share of toxic rows."""
+def learn(texts: list[np.ndarray], toxic: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ratio and weight times ratio by bucket, and the intercept. ``texts``: distinct buckets of each."""
     size = 1 << settings.bits
     if not len(texts) or toxic.all() or not toxic.any():  # nothing to tell apart
-        none = np.zeros(0)
-        share = min(max(prior, 1e-6), 1 - 1e-6)
-        return none.astype(np.int64), none, none, float(np.log(share / (1 - share)))
+        return np.zeros(size), np.zeros(size), 0.0
     with_it = {c: np.bincount(np.concatenate([t for t, y in zip(texts, toxic, strict=True) if y == c]), minlength=size) for c in (0, 1)}
     share = {c: (with_it[c] + settings.smoothing) / ((toxic == c).sum() + 2 * settings.smoothing) for c in (0, 1)}
     ratio = np.log(share[1] / share[0])
@@ -80,9 +80,49 @@ def learn(texts: list[np.ndarray], toxic: np.ndarray, prior: float, settings: Se
             weight[kept] -= settings.rate * step / np.sqrt(squares[kept])
             bias_squares += off**2
             bias -= settings.rate * off / np.sqrt(bias_squares)
-    held = np.flatnonzero((ratio != 0) & (weight != 0))
-    share_of_toxic = min(max(prior, 1e-6), 1 - 1e-6)
-    return held, ratio[held], weight[held] * ratio[held], float(bias + np.log(share_of_toxic / (1 - share_of_toxic)))
+    return ratio, weight * ratio, float(bias)
+
+
+def margins(texts: list[np.ndarray], ratio: np.ndarray, scaled: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(len(texts), bias)
+    for i, t in enumerate(texts):
+        kept = t[ratio[t] != 0]
+        if len(kept):
+            out[i] += scaled[kept].sum() / np.sqrt((ratio[kept] ** 2).sum())
+    return out
+
+
+def calibrated(margin: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the margin at which the labels are likeliest, classes weighted to ``prior``; Newton's method."""
+    share = toxic.mean()
+    weight = np.where(toxic == 1, prior / share, (1 - prior) / (1 - share))
+    inputs = np.stack([margin, np.ones_like(margin)])
+    at = np.array([1.0, np.log(prior / (1 - prior))])
+    for _ in range(50):
+        chance = 1.0 / (1.0 + np.exp(-np.clip(at @ inputs, -30, 30)))
+        curve = (inputs * (weight * (chance * (1 - chance) + 1e-6))) @ inputs.T
+        move = np.linalg.solve(curve + 1e-3 * np.eye(2), inputs @ (weight * (chance - toxic)) + 1e-3 * (at - [1.0, 0.0]))
+        at = at - move
+        if np.abs(move).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def fitted(texts: list[np.ndarray], toxic: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(bucket, ratio, weight times ratio) and intercept, on a scale where scores are shares of toxic texts."""
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    ratio, scaled, bias = learn(texts, toxic, settings)
+    if not ratio.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), float(np.log(prior / (1 - prior)))
+    fold = np.arange(len(texts)) % settings.folds
+    margin = np.zeros(len(texts))
+    for k in range(settings.folds):
+        apart = np.flatnonzero(fold == k)
+        rest = np.flatnonzero(fold != k)
+        margin[apart] = margins([texts[i] for i in apart], *learn([texts[i] for i in rest], toxic[rest], settings))
+    slope, shift = calibrated(margin, toxic, prior)
+    held = np.flatnonzero((ratio != 0) & (scaled != 0))
+    return held, ratio[held], slope * scaled[held], slope * bias + shift
 
 
 def train(
@@ -110,7 +150,7 @@ def train(
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = sorted(((k, y, g) for part in rows(batches) for k, y, g in zip(*part, strict=True)))
         texts = [np.frombuffer(g, dtype=np.int32) for _, _, g in every]
-        held, ratio, scaled, bias = learn(texts, np.array([y for _, y, _ in every]), prior, settings)
+        held, ratio, scaled, bias = fitted(texts, np.array([y for _, y, _ in every]), prior, settings)
         bucket = np.concatenate(([-1], held)).astype(np.int64)
         values = (np.concatenate(([bias], ratio)), np.concatenate(([0.0], scaled)))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *values)], names=["bucket", "ratio", "scaled"])

@@ -46,7 +46,7 @@ class WordIds:
     white space is a matter of opinion, or which could spell a special token, goes to the tokenizer whole.
     """
 
-    KNOWN_WORDS = 1_000_000  # words kept for lookup; further ones are encoded each time they are met
+    KNOWN_WORDS = 700_000  # words kept for lookup; further ones are encoded each time they are met
 
     def __init__(self, path: str):
         import regex
@@ -329,6 +329,7 @@ def pack(
     keyed = table[:, 0].astype(np.float64) * 2.0**40 + table[:, 1]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids.cache_clear()  # all texts are tokenized; a reused worker would hold the words on
         for batch in batches:
             length = batch.column("length").to_numpy().astype(np.int64)
             part, local = (batch.column(c).to_numpy().astype(np.int64) for c in ("part", "local"))

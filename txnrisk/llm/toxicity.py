@@ -54,12 +54,27 @@ class Model:
         return self.intercept + (self.scaled[found].astype(float).sum() / length if len(found) else 0.0)
 
 
+def sampled(texts: list[str], settings: Settings) -> list[np.ndarray]:
+    """The distinct buckets of each text, of those that enough texts hold: read twice, so that the rest is never kept."""
+    inside = np.zeros(1 << settings.bits, dtype=np.int32)
+    for t in texts:
+        inside[np.unique(grams(t, settings.orders, settings.bits))] += 1
+    frequent = inside >= settings.least_texts
+    out = []
+    for t in texts:
+        found = grams(t, settings.orders, settings.bits)
+        out.append(np.unique(found[frequent[found]]).astype(np.int32))
+    return out
+
+
 def learn(texts: list[np.ndarray], toxic: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Ratio and weight times ratio by bucket, and the intercept. ``texts``: distinct buckets of each."""
     size = 1 << settings.bits
     if not len(texts) or toxic.all() or not toxic.any():  # nothing to tell apart
         return np.zeros(size), np.zeros(size), 0.0
-    with_it = {c: np.bincount(np.concatenate([t for t, y in zip(texts, toxic, strict=True) if y == c]), minlength=size) for c in (0, 1)}
+    with_it = {c: np.zeros(size, dtype=np.int64) for c in (0, 1)}
+    for t, y in zip(texts, toxic, strict=True):
+        with_it[int(y)][t] += 1
     share = {c: (with_it[c] + settings.smoothing) / ((toxic == c).sum() + 2 * settings.smoothing) for c in (0, 1)}
     ratio = np.log(share[1] / share[0])
     ratio[(with_it[0] + with_it[1] < settings.least_texts) | (np.abs(ratio) < settings.least_ratio)] = 0
@@ -142,21 +157,15 @@ def train(
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("key"), "toxic", "text")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, toxic, whole in rows(batches, 64):
-            found = [np.unique(grams(t or "", settings.orders, settings.bits)).astype(np.int32).tobytes() for t in whole]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(toxic, pa.int32()), pa.array(found, pa.binary())], names=["key", "toxic", "grams"])
-
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = sorted(((k, y, g) for part in rows(batches) for k, y, g in zip(*part, strict=True)))
-        texts = [np.frombuffer(g, dtype=np.int32) for _, _, g in every]
-        held, ratio, scaled, bias = fitted(texts, np.array([y for _, y, _ in every]), prior, settings)
+        every = sorted(row for part in rows(batches) for row in zip(*part, strict=True))
+        held, ratio, scaled, bias = fitted(sampled([t for _, _, t in every], settings), np.array([y for _, y, _ in every]), prior, settings)
         bucket = np.concatenate(([-1], held)).astype(np.int64)
         values = (np.concatenate(([bias], ratio)), np.concatenate(([0.0], scaled)))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *values)], names=["bucket", "ratio", "scaled"])
 
-    featured = sample.mapInArrow(features, "key long, toxic int, grams binary")
-    table = featured.repartition(1).mapInArrow(fit, "bucket long, ratio double, scaled double").toArrow()
+    narrow = sample.select("key", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    table = narrow.repartition(1).mapInArrow(fit, "bucket long, ratio double, scaled double").toArrow()
     bucket, ratio, scaled = (table.column(c).to_numpy() for c in ("bucket", "ratio", "scaled"))
     if not len(bucket):  # no task ran: no rows at all
         bucket, ratio, scaled = np.array([-1]), np.array([0.0]), np.array([0.0])

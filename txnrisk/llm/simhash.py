@@ -35,6 +35,7 @@ SAMPLE = 3000  # fingerprints behind the cost estimate; they steer speed, never
 HOT = 2000  # fingerprints in a bucket before it is filed by its remaining bits as well
 BLOCK = 2048  # fingerprints compared with one another at a time
 PROBE_COST, PAIR_COST = 60.0, 1.0  # a probe's shuffled row against one comparison
+PLAN_ROWS = 10_000  # a probed value is also a constant in the plan, which costs as much as so many rows
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -111,7 +112,7 @@ def filing_plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> lis
             for t in range(distance + 1):
                 probes = sum(comb(len(part), j) for j in range(t + 1))
                 share = max((apart <= t).mean() if len(apart) else 0.0, probes / 2.0 ** len(part))
-                cost.append(total * probes * PROBE_COST + total * total / 2 * share * PAIR_COST)
+                cost.append((total + PLAN_ROWS) * probes * PROBE_COST + total * total / 2 * share * PAIR_COST)
             costs.append(cost)
         # cheapest[s]: the first partitions with thresholds adding up to s, threshold + 1 each
         cheapest: list[tuple[float, list[int]]] = [(0.0, [])] + [(np.inf, [])] * (distance + 1)

@@ -69,6 +69,24 @@ def directory(sizes: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataF
     return reduce(DataFrame.unionByName, leaves)
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """``carried`` with h, tie and bytes, written down: that fixes the row numbers behind ``tie``."""
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint")
+    content = content_hash(F.col(id_col), F.col(text_col))
+    tie = F.bitwise_not(F.lit(-1 << CONTENT_BITS).cast("bigint")).bitwiseAND(F.xxhash64(F.monotonically_increasing_id()))
+    return stage(docs.select(*carried, content.alias("h"), tie.alias("tie"), size.alias("bytes")), "shard-rows")
+
+
+def _placed(rows: DataFrame, limit: int, depth: int) -> DataFrame:
+    """``rows`` with shard, shard_bytes and shard_docs instead of h and tie."""
+    leaves = stage(directory(rows.select("h", "tie", "bytes"), limit, depth), "shard-directory")
+    depths = [r["depth"] for r in leaves.select(F.length("shard").alias("depth")).distinct().collect()]  # at most 121 numbers
+    tries = F.array(*[_bits(0, d) for d in sorted(depths)]) if depths else F.array(F.lit(""))
+    found = leaves.select("shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    # a row is in exactly one leaf: of its prefixes of the depths that occur, one is in the directory
+    return rows.withColumn("shard", F.explode(tries)).drop("h", "tie").join(found, "shard")
+
+
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """Per row: id, shard, depth, bytes, shard_bytes, shard_docs, oversized.
 
@@ -76,25 +94,15 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
     above the limit. Equal rows are told apart by their place in the table, all other rows by id and
     text alone. An empty table gives an empty one, other columns are not read.
     """
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint")
-    keyed = docs.select(F.col(id_col).alias("id"), content_hash(F.col(id_col), F.col(text_col)).alias("h"), size.alias("bytes"))
-    # the row number is fixed by writing it down
-    tie = F.bitwise_not(F.lit(-1 << CONTENT_BITS).cast("bigint")).bitwiseAND(F.xxhash64(F.monotonically_increasing_id()))
-    rows = stage(keyed.withColumn("tie", tie), "shard-rows")
-    leaves = stage(directory(rows, limit, depth), "shard-directory")
-    depths = [r["depth"] for r in leaves.select(F.length("shard").alias("depth")).distinct().collect()]  # at most 121 numbers
-    tries = F.array(*[_bits(0, d) for d in sorted(depths)]) if depths else F.array(F.lit(""))
-    found = leaves.select("shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
-    # a row is in exactly one leaf: of its prefixes of the depths that occur, one is in the directory
-    named = rows.select("id", "bytes", F.explode(tries).alias("shard")).join(found, "shard")
-    return named.select(
+    placed = _placed(_hashed(docs, id_col, text_col, F.col(id_col).alias("id")), limit, depth)
+    return placed.select(
         F.col("id").alias(id_col), "shard", F.length("shard").alias("depth"), "bytes", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized")
     )
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Write the documents as Parquet, a folder per shard, and return the shard directory."""
-    placed = sharded(docs.select(id_col, text_col), id_col, text_col, limit)
-    parts = placed.select(id_col, "shard").distinct()
-    docs.join(parts, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed.groupBy("shard", "shard_bytes", "shard_docs").agg(F.count("*").alias("rows"))
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, depth: int = DEPTH) -> None:
+    """Write every row as Parquet, a folder ``shard=b<bits>`` per shard; all columns of ``docs`` are kept."""
+    row = F.struct(*docs.columns).alias("row")
+    placed = _placed(_hashed(docs, id_col, text_col, row), limit, depth)
+    named = placed.select("row.*", F.concat(F.lit("b"), "shard").alias("shard"))  # not a number to a reader
+    named.repartition("shard").write.partitionBy("shard").parquet(path)

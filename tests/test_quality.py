@@ -69,7 +69,7 @@ def test_report_and_gate(spark):
     assert (none["total_rules"], none["pass_rate_pct"]) == (0, 0.0)
     assert Q.gate(None, "t")["passed"] is False and Q.gate(None, "t")["failed_count"] == -1
     many = {"passed": False, "failed_rules": list(range(25)), "failed_count": 25}
-    assert len(Q.gate(many, "t")["failed_rules"]) == 10 and Q.gate({}, "t")["passed"] is False
+    assert len(Q.gate(many, "t")["failed_rules"]) == 25 and Q.gate({}, "t")["passed"] is False
 
 
 def test_health_checks(spark):

@@ -103,3 +103,19 @@ def test_lookback_rows_keep_their_features(spark, folder):
     whole = by_id(spark.read.parquet(lake.path("silver")), "prior_txn_count_30d")
     P.run_silver(spark, lake, date(2026, 3, 11), process_days=1)
     assert by_id(spark.read.parquet(lake.path("silver")), "prior_txn_count_30d") == whole
+
+
+def test_a_swap_stopped_halfway_loses_nothing(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, ("A", 1, 1), ("B", 1, 1)), path, ["transaction_id"])
+    live, files = writers._locate(spark, path)
+    aside, _ = writers._locate(spark, f"{path}{writers.OLD}stopped")
+    assert files.rename(live, aside)  # the first of the two renames was done, the second was not
+    writers.upsert_table(table(spark, ("C", 1, 1)), path, ["transaction_id"])
+    assert {r.transaction_id for r in spark.read.parquet(path).collect()} == {"A", "B", "C"}
+
+
+def test_an_upsert_reads_either_side_once(spark):
+    target, source = table(spark, ("A", 1, 1)), table(spark, ("A", 2, 2))
+    plan = writers.upsert(target, source, ["transaction_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

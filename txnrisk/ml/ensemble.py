@@ -209,8 +209,7 @@ def train(silver: DataFrame, settings: Settings = Settings()) -> Training:
     """
     spark = silver.sparkSession
     _guard(silver)
-    options = {"holdout": settings.holdout} if settings.split == "temporal" else {}
-    divided = SP.train_holdout(silver, settings.split, **options)
+    divided = SP.train_holdout(silver, settings.split, holdout=settings.holdout, seed=settings.seed)
     kept = [KEY, *(["dt"] if "dt" in silver.columns else []), "in_holdout"]
     staged = scratch.stage(MF.vectors(divided, kept), "model_input")
     sides = staged.where("NOT in_holdout").agg(F.count("*"), F.count_if(F.col("label") == 1.0)).first()

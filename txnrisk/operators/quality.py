@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from txnrisk import schemas as S
 from txnrisk.operators.monitor import STALE_AFTER_HOURS
 
-CARRIED_FAILURES = 10
 
 
 @dataclass(frozen=True)
@@ -211,7 +210,7 @@ def report(outcomes: DataFrame, layer: str) -> DataFrame:
 
 def gate(document: dict | None, layer: str) -> dict:
     """Go or stop, from a stored report. No readable report stops: an evaluation that never
-    finished must not let its data through. At most ten failures travel with the verdict."""
+    finished must not let its data through."""
     if document is None:
         missing = {"rule": "report_available", "reason": "quality report not found or unreadable"}
         return {
@@ -224,7 +223,7 @@ def gate(document: dict | None, layer: str) -> dict:
         "pass_rate_pct": document.get("pass_rate_pct") or 0.0,
         "failed_count": document.get("failed_count") or 0,
         "total_rules": document.get("total_rules") or 0,
-        "failed_rules": list(document.get("failed_rules") or [])[:CARRIED_FAILURES],
+        "failed_rules": list(document.get("failed_rules") or []),
     }
 
 

@@ -123,7 +123,7 @@ def _dim(source: str) -> str:
 
 
 _CTE["dim"] = _dim("bronze")
-_CTE["early"] = "SELECT * FROM bronze WHERE dt < DATE '2024-01-08'"
+_CTE["early"] = "SELECT * FROM bronze WHERE substr(md5(merchant_id), 1, 1) NOT IN ('0', '1')"
 _CTE["early_dim"] = _dim("early")
 
 _VOLUME = f"""count(*) AS transaction_count, count(DISTINCT customer_id) AS distinct_customer_count,
@@ -414,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
         "upsert_transactions": _with(
             f"""SELECT transaction_id, CAST(amount + CASE WHEN batch THEN 1 ELSE 0 END AS DOUBLE) AS amount, schema_version,
                 CASE WHEN batch THEN auth_response_code END AS auth_response_code, {stamp('ingest_timestamp')} AS ingest_timestamp
-                FROM (SELECT *, dt >= DATE '2024-01-15' AS batch FROM bronze) WHERE batch OR schema_version = 1""",
+                FROM (SELECT *, dt >= DATE '2024-01-15' OR schema_version = 2 AS batch FROM bronze)""",
             "bronze",
         ),
         "referential_orphans": _with(

@@ -11,7 +11,7 @@ import uuid
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +33,12 @@ def upsert(
     ``source`` holds one row per key. With ``newer_by`` a source row replaces an existing one
     only if it is at least as new, so replaying an old batch changes nothing.
     """
-    widened = add_columns(target, source)
-    incoming = source
-    if newer_by is not None:
-        standing = target.select(*keys, F.col(newer_by).alias("standing"))
-        match = source.join(standing, keys, "left")
-        current = F.col("standing").isNull() | (F.col(newer_by) >= F.col("standing"))
-        incoming = match.where(current).select(*source.columns)
-    kept = widened.join(incoming.select(*keys), keys, "left_anti")
-    return kept.select(*widened.columns).unionByName(incoming, allowMissingColumns=True)
+    widened = add_columns(target, source).withColumn("_arrived", F.lit(0))
+    both = widened.unionByName(source.withColumn("_arrived", F.lit(1)), allowMissingColumns=True)
+    newest = [F.desc_nulls_last(newer_by)] if newer_by is not None else []
+    first = Window.partitionBy(*keys).orderBy(*newest, F.desc("_arrived"))
+    # either side is read once, and rows meet in one shuffle
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_arrived")
 
 
 def create_table(
@@ -52,6 +49,7 @@ def create_table(
     sort_by: list[str] | None = None,
 ) -> DataFrame:
     """The table at ``path``, created empty when it does not exist yet."""
+    recover(spark, path)
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -125,7 +123,8 @@ def upsert_table(
     """Keyed upsert into the table at ``path``; created when absent.
 
     The merged table is written beside the old one and swapped in, so the job never overwrites
-    what it is reading and a crash leaves the old table. A key may move to another day (a
+    what it is reading; a crash leaves the old table, in place or set aside, from where the next
+    call brings it back (see ``recover``). A key may move to another day (a
     corrected timestamp), so all partitions are compared, not only those of the source.
     """
     spark = source.sparkSession
@@ -135,10 +134,26 @@ def upsert_table(
     _swap(spark, beside, path)
 
 
+OLD = "__old_"
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo a swap that was stopped between its two renames: the set-aside table goes back to ``path``."""
+    live, files = _locate(spark, path)
+    if files.exists(live):
+        return
+    aside = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{OLD}*")) or []
+    if len(aside) > 1:
+        raise OSError(f"{path} is missing and more than one older version of it is there")
+    for status in aside:
+        if not files.rename(status.getPath(), live):
+            raise OSError(f"could not bring {path} back")
+
+
 def _swap(spark: SparkSession, fresh: str, path: str) -> None:
     live, files = _locate(spark, path)
     new, _ = _locate(spark, fresh)
-    old, _ = _locate(spark, f"{path.rstrip('/')}__old_{uuid.uuid4().hex}")
+    old, _ = _locate(spark, f"{path.rstrip('/')}{OLD}{uuid.uuid4().hex}")
     if not (files.rename(live, old) and files.rename(new, live)):
         raise OSError(f"could not swap {fresh} into {path}")
     files.delete(old, True)

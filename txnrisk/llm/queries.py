@@ -11,6 +11,7 @@ from txnrisk.llm import decontaminate as DC
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
 from txnrisk.llm import language_id as LI
+from txnrisk.llm import oracle
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
 from txnrisk.llm import sharding as SD
@@ -94,4 +95,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL can express the rows; tests/llm has a brute-force version of the others."""
+    return {"op2_url_filter": oracle.op2(), "op3_secret_scan": oracle.op3(), "op7_sharding": oracle.op7()}

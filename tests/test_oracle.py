@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, differences
+from txnrisk.plans import driver
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_is_known_and_the_flagship_runs(spark):
-    without_sql = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(driver.queries()) <= set(entry.queries())
+    without_sql = set(driver.queries()) - set(entry.oracle_sql())
     assert without_sql == {"ensemble_scores", "ensemble_metrics", "stream_scores"}
     assert entry.entry(spark).count() > 0

@@ -32,9 +32,8 @@ VECTOR = "features"
 
 
 def columns(available: list[str]) -> dict[str, Column]:
-    """The 34 features by name. A number is a filled value and an indicator that it was
-    missing: no earlier transaction is not an earlier transaction at distance 0. A feature whose
-    column is absent is missing on every row."""
+    """The 34 features by name. Each number gives two: its value, 0 where NULL, and a flag for NULL.
+    A column that ``available`` does not list is NULL on every row."""
     out: dict[str, Column] = {}
     for name in NUMERIC:
         value = F.col(name).cast("double") if name in available else F.lit(None).cast("double")

@@ -135,7 +135,7 @@ def bronze_rules(as_of: datetime, merchant_dim: DataFrame | None = None) -> list
 
 
 def silver_rules() -> list[Rule]:
-    """Did the features come out?"""
+    """Rules for silver: one row per transaction, features within their ranges."""
     return [
         is_complete("transaction_id"),
         unique_grain("transaction_id"),
@@ -209,8 +209,8 @@ def report(outcomes: DataFrame, layer: str) -> DataFrame:
 
 
 def gate(document: dict | None, layer: str) -> dict:
-    """Go or stop, from a stored report. No readable report stops: an evaluation that never
-    finished must not let its data through."""
+    """The verdict of a stored report. ``None`` (absent or unreadable) counts as failed. The keys are
+    fixed values of the verdict's layout."""
     if document is None:
         missing = {"rule": "report_available", "reason": "quality report not found or unreadable"}
         return {

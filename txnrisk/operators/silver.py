@@ -34,7 +34,7 @@ def merchant_risk_scores(bronze: DataFrame, prior_weight: int = S.RISK_PRIOR_WEI
 
 
 def with_merchant_risk(transactions: DataFrame, dim: DataFrame) -> DataFrame:
-    """Left join to the dimension; a merchant it does not know is new, not safe.
+    """Adds the risk columns of the merchant dimension; rows of unlisted merchants get the tier ``unknown``.
 
     Unhinted on purpose: Spark broadcasts the dimension when its measured size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles, splitting hot merchants.

@@ -305,9 +305,7 @@ def _nearest(t: Tables) -> DataFrame:
 def _cited(t: Tables) -> DataFrame:
     named = t.given("documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("document"))
     found = _nearest(t).join(named, "item_id", "left")
-    return R.citations(found, "document").select(
-        "query_id", "rank", F.format_string("[%d] source: %s", "rank", "document").alias("marker"), "score"
-    )
+    return R.citations(found, "document").select("query_id", "rank", "citation", "score")
 
 
 def _gold_question(t: Tables) -> DataFrame:

@@ -624,6 +624,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_customer_state": _with(_STATE_TEXT, "live"),
         "topk_cosine": _NEAREST + "SELECT * FROM nearest",
         "citations": _NEAREST
-        + """SELECT query_id, rank, concat('[', rank, '] source: ', coalesce(source, 'null')) AS marker, score
+        + """SELECT query_id, rank, concat('[', rank, '] source: ', coalesce(source, 'null'), ' (relevance ', score, ')') AS citation, score
              FROM nearest LEFT JOIN documents ON doc_id = item_id""",
     }

@@ -38,12 +38,14 @@ def start(
     def take(batch: DataFrame, batch_id: int) -> None:
         # Both sinks need the rows; held on disk so that the files are parsed once.
         batch.persist()
-        clean, rejected = B.split(batch, now)
-        rejected.drop("rejection_reasons").write.mode("overwrite").partitionBy("dt").parquet(
-            f"{quarantine_path.rstrip('/')}/batch={batch_id}"
-        )
-        writers.upsert_table(B.deduplicate(clean), bronze_path, ["transaction_id"], newer_by="ingest_timestamp")
-        batch.unpersist()
+        try:
+            clean, rejected = B.split(batch, now)
+            rejected.drop("rejection_reasons").write.mode("overwrite").partitionBy("dt").parquet(
+                f"{quarantine_path.rstrip('/')}/batch={batch_id}"
+            )
+            writers.upsert_table(B.deduplicate(clean), bronze_path, ["transaction_id"], newer_by="ingest_timestamp")
+        finally:
+            batch.unpersist()
 
     raw = spark.readStream.schema(S.RAW).option("maxFilesPerTrigger", files_per_batch).json(raw_path)
     # Arrival folders are found by listing; their day is not part of a transaction.

@@ -87,3 +87,13 @@ def test_temporal_falls_back_when_a_side_has_one_class(spark):
     )
     sides = SP.train_holdout(df, "temporal").groupBy("in_holdout").agg(F.count_if("is_fraud")).collect()
     assert all(row[1] > 0 for row in sides)
+
+
+def test_the_split_takes_its_share_and_seed(spark):
+    rows = spark.range(400).selectExpr("concat('T', id) AS transaction_id", "id % 10 = 0 AS is_fraud", "date_add(DATE '2024-01-01', int(id / 40)) AS dt")
+    half = SP.train_holdout(rows, "random", holdout=0.5, seed=7)
+    assert half.where("in_holdout").count() == 200 and half.where("in_holdout AND is_fraud").count() == 20
+    other = SP.train_holdout(rows, "random", holdout=0.5, seed=8)
+    assert half.where("in_holdout").join(other.where("in_holdout"), "transaction_id").count() < 200
+    by_day = SP.train_holdout(rows, "temporal", holdout=0.4)  # no event time: the day decides
+    assert by_day.where("in_holdout").count() == 160 and by_day.where("in_holdout AND dt <= '2024-01-06'").isEmpty()

@@ -46,18 +46,17 @@ class WordIds:
     white space is a matter of opinion, or which could spell a special token, goes to the tokenizer whole.
     """
 
-    KNOWN_WORDS = 700_000  # words kept for lookup; further ones are encoded each time they are met
+    KNOWN_WORDS = 800_000  # words kept for lookup; further ones are encoded each time they are met
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.doubtful = regex.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\\|")
+        self.doubtful = ("<|", *"\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.doubtful.search(t) else t.split() for t in texts]
+        split = [None if any(x in t for x in self.doubtful) else t.split() for t in texts]
         known = self.known
         new = list(set().union(*(words for words in split if words)).difference(known))
         added = self._learn(new)

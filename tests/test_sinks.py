@@ -81,6 +81,7 @@ def test_pipeline_replay_adds_nothing(spark, folder):
     P.run(spark, lake, now)
     assert first == {name: spark.read.parquet(lake.path(name)).count() for name in first} and first["bronze"] == 12
     assert tuple(M.rejection_breakdown(readers.quarantine(spark, lake.path("quarantine"))).first())[0] == "non_numeric_amount"
+    assert readers.quarantine(spark, lake.path("quarantine")).count() == 1  # the second run replaced it
     view = readers.raw_view(spark, lake.path("raw"))
     assert {"txn_timestamp", "ingest_dt"} <= set(view.columns) and view.count() == 13
 

@@ -41,7 +41,7 @@ def run_bronze(spark: SparkSession, lake: Lake, now: datetime, arrival_day: date
     already there are replaced by themselves, and older ones never replace newer ones."""
     raw = readers.raw_json(spark, lake.path("raw"), arrival_day)
     clean, rejected = B.split(raw, now)
-    writers.append_quarantine(rejected, lake.path("quarantine"))
+    writers.write_quarantine(rejected, lake.path("quarantine"), arrival_day)
     writers.upsert_table(
         B.deduplicate(clean), lake.path("bronze"), ["transaction_id"], newer_by="ingest_timestamp"
     )
@@ -133,10 +133,13 @@ def _require(verdict: dict) -> dict:
     return verdict
 
 
-def run(spark: SparkSession, lake: Lake, as_of: datetime, process_days: int = 1, gold_days: int | None = None) -> list[dict]:
-    """One pipeline run. Raises GateClosed at the first layer that fails its rules."""
+def run(
+    spark: SparkSession, lake: Lake, as_of: datetime, process_days: int = 1, gold_days: int | None = None, arrival_day: date | None = None
+) -> list[dict]:
+    """One pipeline run over the raw files of ``arrival_day``, or all. Raises GateClosed at the first
+    layer that fails its rules."""
     day = as_of.date()
-    run_bronze(spark, lake, as_of)
+    run_bronze(spark, lake, as_of, arrival_day)
     known = writers.exists(spark, lake.path("merchant_dim"))
     dim = spark.read.parquet(lake.path("merchant_dim")) if known else None
     verdicts = [_require(check(spark, lake, "bronze", "bronze", Q.bronze_rules(as_of, dim)))]

@@ -82,4 +82,4 @@ def quarantine(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("dt", T.DateType()),
         ]
     )
-    return _or_empty(spark, path, schema, lambda: spark.read.schema(schema).parquet(path))
+    return _or_empty(spark, path, schema, lambda: spark.read.schema(schema).parquet(path).select(*schema.fieldNames()))

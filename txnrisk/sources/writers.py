@@ -75,9 +75,14 @@ def append(df: DataFrame, path: str, partition_by: str | None = "dt") -> None:
     _laid_out(df, partition_by, mode="append").save(path)
 
 
-def append_quarantine(rejected: DataFrame, path: str) -> None:
-    """Dead letters by day; the reasons stay as text."""
-    append(rejected.drop("rejection_reasons"), path)
+def write_quarantine(rejected: DataFrame, path: str, arrival_day: date | None = None) -> None:
+    """Dead letters of one arrival day, in place of those an earlier run over that day left; without
+    a day, of all raw files, in place of everything. The reasons stay as text."""
+    home = path.rstrip("/")
+    if arrival_day is None:
+        _drop_folder(rejected.sparkSession, home)
+    rows = rejected.drop("rejection_reasons")
+    _laid_out(rows, "dt", mode="overwrite").save(f"{home}/arrival={arrival_day or 'all'}")
 
 
 def overwrite_snapshot(df: DataFrame, path: str) -> None:

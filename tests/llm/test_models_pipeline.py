@@ -7,12 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from tests.llm.fixtures import awkward_docs, components_of, edit_distance_inside, prose
+from tests.llm.fixtures import alike_components, awkward_docs, edit_distance_inside, prose
 from tests.llm.test_texts import checked
 from txnrisk.llm import decontaminate as DC
 from txnrisk.llm import language_id as LI
 from txnrisk.llm import queries as Q
-from txnrisk.llm import simhash as SH
 from txnrisk.llm import toxicity as TX
 
 SF = "/root/testdata/sf0.01"
@@ -119,7 +118,7 @@ def test_stages_against_brute_force(spark, corpus):
     kept, rows = after("toxicity", kept)
     assert set(rows) == {i for i, t, *_ in docs if "idiot" not in (t or "")}
     names = sorted(rows)
-    root = components_of([SH.fingerprint(rows[i].text) for i in names], SH.DISTANCE)
+    root = alike_components([rows[i].text for i in names])
     kept, left = after("simhash_near_dedup", kept)
     assert set(left) == {names[r] for r in root} and len(left) < len(rows)
     kept, clean = after("benchmark_decontamination", kept)

@@ -7,7 +7,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.fixtures import awkward_docs, components_of, edit_distance_inside, prose
+from tests.llm.fixtures import (
+    alike_components,
+    awkward_docs,
+    components_of,
+    edit_distance_inside,
+    prose,
+    shared_shingles,
+    within,
+    word,
+)
 from txnrisk.llm import decontaminate as DC
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
@@ -167,7 +176,27 @@ def test_components_against_all_pairs(spark, hot, monkeypatch):
     prints = [SH.fingerprint(t) for _, t in docs]
     assert prints == [slow_print(t) for _, t in docs]
     got = {r.doc_id: r.component_id for r in SH.near_duplicates(table(spark, docs)).collect()}
-    assert got == dict(enumerate(components_of(prints, SH.DISTANCE)))
+    assert got == dict(enumerate(components_of(prints, within(SH.DISTANCE))))
+
+
+@pytest.mark.parametrize("hot", [2000, 5])
+def test_texts_alike_against_all_pairs(spark, hot, monkeypatch):
+    monkeypatch.setattr(SH, "HOT", hot)
+    rng = random.Random(17)
+    docs = []
+    for copies in [1] * 20 + [2] * 20 + [90]:
+        words = prose(rng, rng.choice([60, 300, 900])).split()
+        for _ in range(copies):
+            edited = list(words)
+            for _ in range(rng.choice([0, 1, 2, len(words) // 60, len(words) // 9])):
+                edited[rng.randrange(len(edited))] = word(rng)
+            docs.append((len(docs), " ".join(edited)))
+    root = alike_components([t for _, t in docs])
+    got = {r.doc_id for r in SH.one_of_each(table(spark, docs)).collect()}
+    assert got == set(root)
+    alike = [root[i] == root[j] for i in range(len(docs)) for j in range(i) if shared_shingles(docs[i][1], docs[j][1]) >= 0.8]
+    assert sum(alike) / len(alike) > 0.95
+    assert all(shared_shingles(docs[i][1], docs[j][1]) > 0.3 for i in range(40) for j in range(i) if root[i] == root[j])
 
 
 def test_filing_plan_finds_every_close_pair():

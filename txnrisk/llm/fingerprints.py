@@ -26,8 +26,8 @@ _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Settings:
-    k: int = 32
-    s: int = 8
+    k: int = 16
+    s: int = 6
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,7 +64,11 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def syncmers(text: str, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit hashes of the closed syncmers; a text shorter than k is one anchor, an empty one has none."""
+    """Positions and 64-bit hashes of the closed syncmers; an empty text has none.
+
+    A text shorter than k is one anchor; one without a closed syncmer (below 2 k - s - 1 code points) has its k-mer of the
+    smallest hash.
+    """
     if not text:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     points = code_points(text)
@@ -75,7 +79,10 @@ def syncmers(text: str, settings: Settings = Settings()) -> tuple[np.ndarray, np
     width = settings.k - settings.s + 1
     least = _window_min(inner, width)
     taken = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
-    return taken, _mixed(hashes[settings.k][taken])
+    found = _mixed(hashes[settings.k])
+    if not len(taken):
+        taken = np.array([found.argmin()])
+    return taken, found[taken]
 
 
 def anchors(text: str, settings: Settings = Settings()) -> np.ndarray:

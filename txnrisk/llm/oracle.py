@@ -73,3 +73,29 @@ def op7() -> str:
     SELECT doc_id, shard, length(shard)::INTEGER AS depth, bytes, shard_bytes, shard_docs, shard_bytes > {SD.LIMIT} AS oversized
     FROM paths JOIN nodes USING (shard) WHERE shard_bytes <= {SD.LIMIT} OR shard_docs = 1
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level) = 1"""
+
+
+def op11() -> str:
+    """Every order is walked step by step, and the Shapley figure is the plain sum over the orders."""
+    return r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    f AS (SELECT doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+                 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails FROM w),
+    c AS (SELECT part, fails, count(*) AS n,
+                 count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS g,
+                 count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)) AS x FROM f GROUP BY ALL),
+    i AS (SELECT unnest(range(1, 6)) AS i),
+    orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    places AS (SELECT o, i AS step, o[i] AS own, o[1:i - 1] AS before FROM orders, i),
+    walked AS (SELECT part, o, step, own, sum(n) AS n,
+        sum(n) FILTER (gone) AS gone_before, sum(n) FILTER (NOT gone AND fails[own]) AS removed, sum(n) FILTER (gone AND fails[own]) AS redundant,
+        sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda z: z)) = 1) AS unique_fails,
+        sum(g) FILTER (NOT gone AND fails[own]) AS good_lost, sum(x) FILTER (NOT gone AND fails[own]) AS toxic_lost
+        FROM (SELECT *, len(list_filter(before, lambda b: fails[b])) > 0 AS gone FROM places, c) GROUP BY part, o, step, own)
+    SELECT part, array_to_string(list_transform(o, lambda z: substr('ABCDE', z, 1)), '') AS filter_order, step::INTEGER AS step,
+           (n - coalesce(gone_before, 0) - coalesce(removed, 0))::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+           coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM walked"""

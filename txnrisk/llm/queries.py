@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import decontaminate as DC
+from txnrisk.llm import filter_audit as FA
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
 from txnrisk.llm import language_id as LI
@@ -76,6 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", SH.hex_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FA.audit(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 
@@ -96,4 +102,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the rows; tests/llm has a brute-force version of the others."""
-    return {"op2_url_filter": oracle.op2(), "op3_secret_scan": oracle.op3(), "op7_sharding": oracle.op7()}
+    return {
+        "op2_url_filter": oracle.op2(),
+        "op3_secret_scan": oracle.op3(),
+        "op7_sharding": oracle.op7(),
+        "op11_filter_audit": oracle.op11(),
+    }

@@ -99,3 +99,23 @@ def op11() -> str:
            coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
            (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
     FROM walked"""
+
+
+def op12() -> str:
+    """The level is found in one go: sources by the level that fills them, and the first prefix that may be clamped."""
+    return r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        ('0x' || substr(md5('=42' || chr(31) || coalesce('=' || doc_id, '') || chr(31) || coalesce('=' || text, '')), 1, 15))::BIGINT AS h FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+    w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+    f AS (SELECT *, 3 * sum(s) OVER () - 4 * coalesce(sum(s) OVER o, 0) AS free, 2 * (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS open
+          FROM w WINDOW o AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT arg_min(free, s / w) AS free, arg_min(open, s / w) AS open FROM f WHERE 2 * s * open >= w * free),
+    t AS (SELECT source, s, least(2.0::DOUBLE * s, (w * free)::DOUBLE / open::DOUBLE) AS target,
+                 CASE WHEN 2 * s * open <= w * free THEN 2 * s ELSE ((w * free) * 2 + open) // (2 * open) END AS words FROM w, level),
+    p AS (SELECT source, s, target, CASE WHEN s > 0 THEN words // s ELSE 0 END AS whole, CASE WHEN s > 0 THEN words % s ELSE 0 END AS part FROM t),
+    r AS (SELECT d.*, p.s, p.target, p.whole, p.part, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
+                 sum(size) OVER (PARTITION BY d.source, h) AS equals FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+    SELECT doc_id, size::BIGINT AS size, s AS source_size, target::DOUBLE AS target,
+           (whole * size + CASE WHEN upto <= part THEN size WHEN upto - equals < part AND equals > 0 THEN size * (part - upto + equals) // equals ELSE 0 END)::BIGINT AS taken
+    FROM r"""

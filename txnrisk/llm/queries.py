@@ -12,6 +12,7 @@ from txnrisk.llm import filter_audit as FA
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
 from txnrisk.llm import language_id as LI
+from txnrisk.llm import mixing as MX
 from txnrisk.llm import oracle
 from txnrisk.llm import packing as PK
 from txnrisk.llm import secret_scan as SS
@@ -81,6 +82,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FA.audit(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MX.mix(given(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_mixing": op12_mixing,
 }
 
 
@@ -107,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": oracle.op3(),
         "op7_sharding": oracle.op7(),
         "op11_filter_audit": oracle.op11(),
+        "op12_mixing": oracle.op12(),
     }

@@ -119,3 +119,28 @@ def op12() -> str:
     SELECT doc_id, size::BIGINT AS size, s AS source_size, target::DOUBLE AS target,
            (whole * size + CASE WHEN upto <= part THEN size WHEN upto - equals < part AND equals > 0 THEN size * (part - upto + equals) // equals ELSE 0 END)::BIGINT AS taken
     FROM r"""
+
+
+def op13() -> str:
+    """Diagonals as islands of six-word matches: a run's diagonal has six words at least."""
+    return r"""
+    WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM
+        (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o, len(o) AS n,
+                 xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                                 lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h, h // 10 AS g,
+                 CASE WHEN n > 0 THEN g % n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM documents, crc),
+    w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE o END AS w FROM d),
+    six AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM w)),
+    met AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i > y.i),
+    islands AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + 5 AS m FROM
+        (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM met) GROUP BY doc_id, lag, island),
+    runs AS (SELECT doc_id, start, m + lag AS length, min(lag) AS period FROM islands WHERE m >= greatest(12 - lag, lag) GROUP BY doc_id, start, m + lag),
+    per AS (SELECT doc_id, list({'s': start, 'l': length, 'p': period} ORDER BY start, period) AS runs,
+                   arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS best FROM runs GROUP BY doc_id),
+    every AS (SELECT doc_id, n, w, best, coalesce(runs, []) AS runs FROM w LEFT JOIN per USING (doc_id))
+    SELECT doc_id, len(runs)::BIGINT AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+           sha256(array_to_string(list_transform(runs, lambda r: r.s || ',' || r.l || ',' || r.p || chr(10)), '')) AS runs_sha256,
+           sha256(array_to_string(CASE WHEN len(runs) = 0 THEN w ELSE list_transform(
+               list_filter(range(n), lambda i: len(list_filter(runs, lambda r: i >= r.s + r.p AND i < r.s + r.l)) = 0), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+    FROM every"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from txnrisk.llm import language_id as LI
 from txnrisk.llm import mixing as MX
 from txnrisk.llm import oracle
 from txnrisk.llm import packing as PK
+from txnrisk.llm import periodic as PR
 from txnrisk.llm import secret_scan as SS
 from txnrisk.llm import sharding as SD
 from txnrisk.llm import simhash as SH
@@ -86,6 +88,34 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MX.mix(given(spark, sf_dir, "documents"))
 
 
+def planted(keys: tuple, words: list[bytes]) -> list[bytes]:
+    """One document in ten, by its id, goes on with a period of its own words; a row without an id does not."""
+    h = zlib.crc32(str(keys[0]).encode())
+    if keys[0] is None or h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = PR.periodic_runs(given(spark, sf_dir, "documents"), ["doc_id"], prepare=planted)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.select("*", longest.alias("best"), F.array_join(lines, "").alias("lines"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -99,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_mixing": op12_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
@@ -114,4 +145,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": oracle.op7(),
         "op11_filter_audit": oracle.op11(),
         "op12_mixing": oracle.op12(),
+        "op13_periodic_runs": oracle.op13(),
     }

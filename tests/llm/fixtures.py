@@ -68,17 +68,6 @@ def within(distance: int):
     return lambda a, b: (a ^ b).bit_count() <= distance
 
 
-def alike_components(texts: list) -> list[int]:
-    """Components of texts whose word-pair prints and five-word prints are both within their distances."""
-    from txnrisk.llm import simhash as SH
-
-    def linked(a, b) -> bool:
-        apart = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-        return apart[0] <= SH.NEAR_DISTANCE and sum(apart[1:]) <= SH.WIDE_DISTANCE
-
-    return components_of([[SH.fingerprint(t, SH.NEAR_SHINGLE), *SH.wide_prints(t)] for t in texts], linked)
-
-
 def shared_shingles(a: str, b: str) -> float:
     """Jaccard likeness of five-word shingles."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.fixtures import awkward_docs, components_of, prose, shared_shingles
@@ -44,3 +45,37 @@ def test_awkward_rows(spark):
     kept = AL.one_of_each(docs).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 3, 6, 7, 8, 9]
     assert kept[0].asDict().keys() == set(docs.columns) and AL.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_ids_may_be_texts(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two three four five six"), (None, "one two three four five six"), ("c", "other")]
+    kept = AL.one_of_each(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == ["a", "c"]
+
+
+def test_two_texts_at_the_limit_share_a_bucket():
+    rng = random.Random(4)
+    met = []
+    for _ in range(400):
+        both = [rng.getrandbits(64) for _ in range(80)]
+        a, b = (np.array([*both, *[rng.getrandbits(64) for _ in range(10)]], dtype=np.uint64) for _ in range(2))
+        met.append(bool((AL.bands(a) == AL.bands(b)).any()))
+        assert not (AL.bands(a) == AL.bands(a + np.uint64(1))).any()
+    assert sum(met) >= 396  # at 0.8
+    assert len(AL.bands(np.zeros(0, dtype=np.uint64))) == 0
+
+
+def test_a_round_makes_a_row_per_member(spark, monkeypatch):
+    """A group of near copies is never paired off: pairs of a round are fewer than rows in buckets."""
+    rng = random.Random(5)
+    base = prose(rng, 200).split()
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(200)] = f"new{i}"
+        texts.append(" ".join(copy))
+    seen, judge = [], AL.verified
+    monkeypatch.setattr(AL, "verified", lambda pairs, sets: seen.append(pairs.count()) or judge(pairs, sets))
+    AL.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(seen) < 120 * AL.BANDS

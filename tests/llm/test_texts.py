@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import (
-    alike_components,
     awkward_docs,
     components_of,
     edit_distance_inside,
@@ -17,6 +16,7 @@ from tests.llm.fixtures import (
     within,
     word,
 )
+from txnrisk.llm import alike as AL
 from txnrisk.llm import decontaminate as DC
 from txnrisk.llm import fingerprints as FP
 from txnrisk.llm import html_extract as HX
@@ -191,12 +191,10 @@ def test_texts_alike_against_all_pairs(spark, hot, monkeypatch):
             for _ in range(rng.choice([0, 1, 2, len(words) // 60, len(words) // 9])):
                 edited[rng.randrange(len(edited))] = word(rng)
             docs.append((len(docs), " ".join(edited)))
-    root = alike_components([t for _, t in docs])
-    got = {r.doc_id for r in SH.one_of_each(table(spark, docs)).collect()}
+    root = components_of([t for _, t in docs], lambda a, b: shared_shingles(a, b) >= 0.8)
+    assert 41 < len(set(root)) < len(docs) - 20
+    got = {r.doc_id for r in AL.one_of_each(table(spark, docs)).collect()}
     assert got == set(root)
-    alike = [root[i] == root[j] for i in range(len(docs)) for j in range(i) if shared_shingles(docs[i][1], docs[j][1]) >= 0.8]
-    assert sum(alike) / len(alike) > 0.95
-    assert all(shared_shingles(docs[i][1], docs[j][1]) > 0.3 for i in range(40) for j in range(i) if root[i] == root[j])
 
 
 def test_filing_plan_finds_every_close_pair():
@@ -217,9 +215,6 @@ def test_simhash_edges(spark):
     assert len(got) == docs.count() and SH.near_duplicates(docs.limit(0)).count() == 0
     empty = [r for r in got if r.fp == 0]
     assert len(empty) == 4 and {r.component_id for r in empty} == {3}
-    kept = SH.one_of_each(docs).collect()
-    assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 3, 6, 7, 8, 9]
-    assert kept[0].asDict().keys() == set(docs.columns) and SH.one_of_each(docs.limit(0)).count() == 0
 
 
 # --- fingerprints -----------------------------------------------------------------------------

@@ -7,11 +7,6 @@ and the number of partitions come from a dynamic programme over estimated candid
 distinct fingerprint is filed once per probed partition and probes the values within t_i of its
 own; what meets in a bucket is verified on all 64 bits.
 
-Two readings are offered. ``near_duplicates`` takes one 64-bit fingerprint of four-word shingles and
-links at 4 differing bits. ``one_of_each`` looks for texts that share 0.8 or more of their five-word
-shingles: it finds pairs by a 64-bit fingerprint of word pairs, within 10 bits, and verifies them on 256
-majority bits of the five-word shingles, which differ in 39 of 256 on average at a likeness of 0.8.
-
 Copies are one fingerprint from the start. A bucket with very many fingerprints is filed again by
 parts of its remaining bits, by the same principle, and a bucket's links come out as a forest, not
 as all pairs.
@@ -36,9 +31,6 @@ from txnrisk.llm.components import components
 # --- fixed values: the fingerprint asked for -----------------------------------------------
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 # -------------------------------------------------------------------------------------------
-NEAR_SHINGLE, NEAR_DISTANCE = 2, 10  # the filed print of texts alike: word pairs move less than longer shingles
-WIDE_SHINGLE, WIDE_DISTANCE = 5, 46  # the verified print: 90 % of pairs at a likeness of 0.8, 3 % at 0.6, 1 in 1700 at 0.5
-WIDE = [f"w{i}" for i in range(4)]
 SAMPLE = 3000  # fingerprints behind the cost estimate; they steer speed, never results
 HOT = 2000  # fingerprints in a bucket before it is filed by its remaining bits as well
 STRIP, BLOCK = 64, 32_768  # fingerprints of a large bucket compared at a time
@@ -71,18 +63,6 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def wide_prints(text: str | None) -> list[int]:
-    """Four times 64 majority bits of the five-word shingles, each from its own remix of their hashes."""
-    hashes = shingle_hashes(text, WIDE_SHINGLE)
-    prints = []
-    for i in range(len(WIDE)):
-        mixed = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        prints.append(majority(mixed ^ (mixed >> np.uint64(31))))
-    return prints
-
-
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """The ``keys`` columns and ``fp``, the fingerprint as a signed 64-bit number, per row."""
 
@@ -96,21 +76,6 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     return docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(hashed, schema)
 
 
-def alike_prints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keys`` columns, ``fp`` of word pairs, ``w0`` to ``w3`` of five-word shingles and ``node``, their hash."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (t for part in rows(iter([batch.select([len(keys)])])) for t in part[0])
-            prints = np.array([[fingerprint(t, NEAR_SHINGLE), *wide_prints(t)] for t in texts], dtype=np.uint64).reshape(-1, 1 + len(WIDE))
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keys, "fp", *WIDE])
-
-    schema = T.StructType([*docs.select(*keys).schema.fields, *[T.StructField(c, T.LongType()) for c in ("fp", *WIDE)]])
-    printed = docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(hashed, schema)
-    return printed.withColumn("node", F.xxhash64("fp", *WIDE))
-
-
 def hex_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -225,20 +190,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def verified_pairs(a: np.ndarray, b: np.ndarray, node: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the row pairs (a, b) those of different nodes that pass on the wide print too, if there is one."""
-    differ = node[a] != node[b]
-    a, b = a[differ], b[differ]
-    if wide.shape[1]:
-        near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE
-        a, b = a[near], b[near]
-    return a, b
-
-
-def close_pairs(
-    bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, wide: np.ndarray, distance: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forests of the nodes within ``distance`` in the same bucket; rows are sorted by bucket."""
+def close_pairs(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forests of the fingerprints within ``distance`` in the same bucket; rows are sorted by bucket."""
     start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     size = np.diff(np.concatenate((start, [len(bucket)])))
     end = np.repeat(start + size, size)
@@ -248,8 +201,8 @@ def close_pairs(
     while len(left):
         left = left[left + step < end[left]]
         near = (np.bitwise_count(fp[left] ^ fp[left + step]) <= distance) & ~(probe[left] & probe[left + step])
-        a, b = verified_pairs(left[near], left[near] + step, node, wide)
-        pairs.append((node[a], node[b]))
+        near &= fp[left] != fp[left + step]
+        pairs.append((fp[left[near]], fp[left[near] + step]))
         step += 1
     if pairs:
         a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
@@ -257,7 +210,7 @@ def close_pairs(
             yield forest(a, b)
     for g in np.flatnonzero(size > 64):
         inside = np.arange(start[g], start[g] + size[g])
-        names, at = np.unique(node[inside], return_inverse=True)
+        names, at = np.unique(fp[inside], return_inverse=True)
         tree = np.arange(len(names))  # what is joined already is not compared again
         filed_here = inside[~probe[inside]]
         for i in range(0, len(filed_here), STRIP):
@@ -266,9 +219,8 @@ def close_pairs(
                 joined = tree[at[x - start[g]]][:, None] == tree[at[y - start[g]]][None, :]
                 near = (np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= distance) & ~joined
                 one, other = np.nonzero(near)
-                a, b = verified_pairs(x[one], y[other], node, wide)
-                if len(a):
-                    root, under = forest(tree[at[a - start[g]]], tree[at[b - start[g]]])
+                if len(one):
+                    root, under = forest(tree[at[x[one] - start[g]]], tree[at[y[other] - start[g]]])
                     yield names[root], names[under]
                     moved = np.arange(len(names))
                     moved[under] = root
@@ -276,29 +228,21 @@ def close_pairs(
 
 
 def links(filed_rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) links between different nodes that join all those within ``distance``.
-
-    A node is a fingerprint, or, where there is a column ``node``, what that says; pairs are then verified
-    on the wide print too.
-    """
-    extra = [c for c in ("node", *WIDE) if c in filed_rows.columns]
+    """(a, b) links between fingerprints that join all those within ``distance``."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bucket, probe, fp, *more = columns
-            node = more[0] if more else fp
-            wide = np.stack(more[1:], axis=1) if more[1:] else np.empty((len(fp), 0), dtype=np.uint64)
-            for a, b in close_pairs(bucket, fp, probe, node, wide, distance):
+            bucket, probe, fp = columns
+            for a, b in close_pairs(bucket, fp, probe, distance):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             probe = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            prints = [batch.column(i).to_numpy().view(np.uint64) for i in range(2, batch.num_columns)]
-            now = [batch.column(0).to_numpy(), probe, *prints]
+            now = [batch.column(0).to_numpy(), probe, batch.column(2).to_numpy().view(np.uint64)]
             if held:
                 now = [np.concatenate(p) for p in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
@@ -308,23 +252,18 @@ def links(filed_rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield from out(held)
 
-    dealt = filed_rows.select("bucket", "probe", "fp", *extra).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = filed_rows.select("bucket", "probe", "fp").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(verified, "a long, b long")
 
 
 def rooted(marked: DataFrame, least: Column, distance: int = DISTANCE) -> DataFrame:
-    """(node, root, least) for every distinct fingerprint: its component and its rows' smallest ``least``.
-
-    The node is the fingerprint itself, or the column ``node`` where ``marked`` has wide prints.
-    """
-    prints = [c for c in ("fp", "node", *WIDE) if c in marked.columns]
-    unique = stage(marked.groupBy(*prints).agg(F.min(least).alias("least")), "distinct-fingerprints")
+    """(node, root, least) for every distinct fingerprint: its component and its rows' smallest ``least``."""
+    unique = stage(marked.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
     total = unique.count()
     chosen = unique.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     plan = filing_plan(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), total, distance)
-    found = components(links(filed(unique.select(*prints), plan, distance), distance))
-    node = "node" if "node" in prints else "fp"
-    known = unique.select(F.col(node).alias("node"), "least").join(found, "node", "left")
+    found = components(links(filed(unique.select("fp"), plan, distance), distance))
+    known = unique.select(F.col("fp").alias("node"), "least").join(found, "node", "left")
     return stage(known.select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
 
 
@@ -340,21 +279,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = known.join(component, "root").select(F.col("node").alias("fp"), "component_id")
     return marked.join(of_print, "fp").select(id_col, "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id.
-
-    Texts alike, those that share 0.8 or more of their five-word shingles, are linked; texts without a
-    word are alike.
-    Rows with a null id come after all others; of rows with one id the one whose text has the smaller
-    hash stays, of equal rows one. Columns stay as they are. The texts are shuffled once, against a
-    table of the kept rows' keys.
-    """
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col), F.lit(0)), "_hash": hashed})
-    keys = ["_none", "_id", "_hash"]
-    marked = stage(alike_prints(keyed, keys, text_col), "fingerprints")
-    known = rooted(marked, F.struct(*keys), NEAR_DISTANCE)
-    kept = known.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -116,6 +116,90 @@ def test_a_swap_stopped_halfway_loses_nothing(spark, folder):
     assert {r.transaction_id for r in spark.read.parquet(path).collect()} == {"A", "B", "C"}
 
 
+def test_keys_with_nulls_are_inserted_not_merged(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, (None, 1, 1), (None, 1, 2)), path, ["transaction_id"])
+    writers.upsert_table(table(spark, (None, 1, 3), ("A", 1, 4), (None, 2, 5)), path, ["transaction_id"])
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
+
+
+def files_of(spark, path) -> dict[str, set]:
+    found: dict[str, set] = {}
+    for row in spark.read.parquet(path).select("dt", F.input_file_name().alias("f")).distinct().collect():
+        found.setdefault(str(row.dt), set()).add(row.f)
+    return found
+
+
+def test_only_touched_days_are_written(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, *[(f"T{d}", d, d) for d in range(1, 8)], ("M", 2, 0), ("L", 7, 0)), path, ["transaction_id"])
+    before = files_of(spark, path)
+    change = table(spark, ("T3", 3, 30), ("M", 5, 50), ("N", 9, 90))  # in place, moved from the 2nd to the 5th, new
+    for _ in range(2):
+        writers.upsert_table(change, path, ["transaction_id"])
+        after = files_of(spark, path)
+        assert set(after) == set(before) | {"2026-03-09"}
+        got = by_id(spark.read.parquet(path), "v")
+        assert got == {"T1": 1, "T2": 2, "T3": 30, "T4": 4, "T5": 5, "T6": 6, "T7": 7, "M": 50, "L": 0, "N": 90}
+    assert all(after[f"2026-03-0{d}"] == before[f"2026-03-0{d}"] for d in (1, 4, 6, 7))
+
+
+def test_a_day_that_all_rows_leave_is_emptied(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, ("A", 1, 1), ("B", 2, 2)), path, ["transaction_id"])
+    writers.upsert_table(table(spark, ("A", 2, 3)), path, ["transaction_id"])
+    assert by_id(spark.read.parquet(path), "v") == {"A": 3, "B": 2} and set(files_of(spark, path)) == {"2026-03-02"}
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_stopped_move_of_days_is_finished_or_undone(spark, folder, whole, monkeypatch):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, ("A", 1, 1), ("B", 2, 2), ("C", 3, 3)), path, ["transaction_id"])
+    change = table(spark, ("A", 2, 9), ("C", 3, 9))
+    with monkeypatch.context() as stopped:
+        if whole:  # after one of the folders was dropped
+
+            def half(spark, beside, path):
+                writers._drop_folder(spark, f"{path}/dt=2026-03-02")
+                raise OSError("stopped")
+
+            stopped.setattr(writers, "_move_days", half)
+        else:
+
+            def no_marker(spark, beside, path):
+                live, files = writers._locate(spark, f"{beside}/{writers.WHOLE}")
+                files.delete(live, True)
+                raise OSError("stopped")
+
+            stopped.setattr(writers, "_move_days", no_marker)
+        with pytest.raises(OSError, match="stopped"):
+            writers.upsert_table(change, path, ["transaction_id"])
+    writers.recover(spark, path)
+    want = {"A": 9, "B": 2, "C": 9} if whole else {"A": 1, "B": 2, "C": 3}
+    assert by_id(spark.read.parquet(path), "v") == want
+    live, files = writers._locate(spark, folder)
+    assert [s.getPath().getName() for s in files.listStatus(live)] == ["t"]
+
+
+def test_stale_older_versions_are_deleted(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, ("A", 1, 1)), path, ["transaction_id"])
+    for name in ("x", "y"):
+        writers.append(table(spark, ("OLD", 1, 1)), f"{path}{writers.OLD}{name}")
+    writers.recover(spark, path)
+    live, files = writers._locate(spark, folder)
+    assert [s.getPath().getName() for s in files.listStatus(live)] == ["t"]
+
+
+def test_the_probe_reads_keys_and_days_only(spark, folder):
+    path = f"{folder}/t"
+    writers.upsert_table(table(spark, ("A", 1, 1), ("B", 2, 1)), path, ["transaction_id"])
+    target, change = spark.read.parquet(path), table(spark, ("A", 3, 1))
+    standing = target.select("transaction_id", "dt").join(change.select("transaction_id"), "transaction_id", "left_semi")
+    assert "ReadSchema: struct<transaction_id:string>" in standing._jdf.queryExecution().toString()
+    assert sorted(str(d) for d in writers.touched_days(target, change, ["transaction_id"], "dt")) == ["2026-03-01", "2026-03-03"]
+
+
 def test_an_upsert_reads_either_side_once(spark):
     target, source = table(spark, ("A", 1, 1)), table(spark, ("A", 2, 2))
     plan = writers.upsert(target, source, ["transaction_id"])._jdf.queryExecution().executedPlan().toString()

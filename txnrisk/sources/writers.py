@@ -1,6 +1,6 @@
 """Sinks over Parquet folders partitioned by ``dt``.
 
-Parquet has no MERGE: an upsert rewrites what it touches. Each table has one writer at a time.
+Parquet has no MERGE: an upsert rewrites the days it touches. Each table has one writer at a time.
 A catalog with a transactional format can run the same frames through ``MERGE INTO``.
 """
 
@@ -9,12 +9,16 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnrisk.sources import scratch
+
 CODEC = "zstd"
 
 
@@ -31,14 +35,18 @@ def upsert(
     """``target`` with every source row inserted, or put in place of the row with its key.
 
     ``source`` holds one row per key. With ``newer_by`` a source row replaces an existing one
-    only if it is at least as new, so replaying an old batch changes nothing.
+    only if it is at least as new, so replaying an old batch changes nothing. A key that holds a NULL
+    matches nothing, as in MERGE: such rows stay, and those of the source are inserted.
     """
     widened = add_columns(target, source).withColumn("_arrived", F.lit(0))
     both = widened.unionByName(source.withColumn("_arrived", F.lit(1)), allowMissingColumns=True)
+    # a row without a key equals no other: each is a group of its own, on either side
+    apart = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
     newest = [F.desc_nulls_last(newer_by)] if newer_by is not None else []
-    first = Window.partitionBy(*keys).orderBy(*newest, F.desc("_arrived"))
+    first = Window.partitionBy(*keys, "_apart").orderBy(*newest, F.desc("_arrived"))
     # either side is read once, and rows meet in one shuffle
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_arrived")
+    numbered = both.withColumn("_apart", apart).withColumn("_n", F.row_number().over(first))
+    return numbered.where("_n = 1").drop("_n", "_arrived", "_apart")
 
 
 def create_table(
@@ -55,7 +63,8 @@ def create_table(
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    _laid_out(spark.createDataFrame([], schema), partition_by, sort_by).save(path)
+    if not exists(spark, path):
+        _laid_out(spark.createDataFrame([], schema), partition_by, sort_by).save(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -118,6 +127,17 @@ def _drop_folder(spark: SparkSession, folder: str) -> None:
         files.delete(location, True)
 
 
+def touched_days(target: DataFrame, source: DataFrame, keys: list[str], partition_by: str) -> list:
+    """The days an upsert of ``source`` changes: its own and those where rows with its keys stand now.
+
+    Of the table only the keys and the day are read, and Spark filters that scan by a Bloom filter of
+    the source's keys where that pays. The list is as long as the table has days.
+    """
+    standing = target.select(*keys, partition_by).join(source.select(*keys), keys, "left_semi")
+    days = source.select(partition_by).unionByName(standing.select(partition_by)).distinct()
+    return [row[0] for row in days.collect()]
+
+
 def upsert_table(
     source: DataFrame,
     path: str,
@@ -127,32 +147,86 @@ def upsert_table(
 ) -> None:
     """Keyed upsert into the table at ``path``; created when absent.
 
-    The merged table is written beside the old one and swapped in, so the job never overwrites
-    what it is reading; a crash leaves the old table, in place or set aside, from where the next
-    call brings it back (see ``recover``). A key may move to another day (a
-    corrected timestamp), so all partitions are compared, not only those of the source.
+    Only touched days are read whole and written anew. A key may move to another day (a corrected
+    timestamp): the day it leaves is touched too. Where the source brings new columns, and in tables
+    without days, the whole table is written, so that all files have one schema.
+
+    The new days are written beside the table and then moved into place. A job that stops before all of
+    them are written has changed nothing; one that stops later is finished by the next call (see
+    ``recover``), as its marker says that what is beside the table is whole.
     """
     spark = source.sparkSession
     target = create_table(spark, path, source.schema, partition_by)
-    beside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    _laid_out(upsert(target, source, keys, newer_by), partition_by).save(beside)
-    _swap(spark, beside, path)
+    home = path.rstrip("/")
+    if partition_by is None or set(source.columns) - set(target.columns):
+        beside = f"{home}__{uuid.uuid4().hex}"
+        _laid_out(upsert(target, source, keys, newer_by), partition_by).save(beside)
+        _swap(spark, beside, path)
+        return
+    batch = scratch.stage(source, "upsert")  # read for its days, for its keys and for its rows
+    days = touched_days(target, batch, keys, partition_by)
+    if not days:
+        return
+    known = [d for d in days if d is not None]
+    within = F.col(partition_by).isin(known) if known else F.lit(False)
+    if None in days:
+        within = within | F.col(partition_by).isNull()
+    beside = f"{home}{NEXT}{uuid.uuid4().hex}"
+    _laid_out(upsert(target.where(within), batch, keys, newer_by), partition_by).save(beside)
+    for day in days:  # a day that all its rows left is an empty folder here
+        folder, files = _locate(spark, _day_folder(beside, partition_by, day))
+        files.mkdirs(folder)
+    marker, files = _locate(spark, f"{beside}/{WHOLE}")
+    files.create(marker, True).close()
+    _move_days(spark, beside, path)
 
 
-OLD = "__old_"
+OLD, NEXT, WHOLE = "__old_", "__next_", "_WHOLE"
+
+
+def _day_folder(home: str, partition_by: str, day) -> str:
+    return f"{home}/{partition_by}={'__HIVE_DEFAULT_PARTITION__' if day is None else day}"
+
+
+def _move_days(spark: SparkSession, beside: str, path: str) -> None:
+    """Every day's folder in ``beside`` takes the place of the table's; can be repeated from any point."""
+    source, files = _locate(spark, beside)
+    for status in files.listStatus(source):
+        name = status.getPath().getName()
+        if "=" in name:
+            _drop_folder(spark, f"{path.rstrip('/')}/{name}")
+            if not files.listStatus(status.getPath()):
+                continue
+            if not files.rename(status.getPath(), _locate(spark, f"{path.rstrip('/')}/{name}")[0]):
+                raise OSError(f"could not move {name} into {path}")
+    files.delete(source, True)
 
 
 def recover(spark: SparkSession, path: str) -> None:
-    """Undo a swap that was stopped between its two renames: the set-aside table goes back to ``path``."""
+    """Finish or undo what an upsert that was stopped left beside the table at ``path``.
+
+    Days that are whole are moved into place, others are deleted. A whole table set aside goes back if the
+    table is missing, else it is deleted: its successor is in place.
+    """
+    home = path.rstrip("/")
     live, files = _locate(spark, path)
-    if files.exists(live):
-        return
-    aside = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{OLD}*")) or []
-    if len(aside) > 1:
+
+    def beside(mark: str) -> list:
+        return [s.getPath() for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{home}{mark}*")) or []]
+
+    aside = beside(OLD)
+    if not files.exists(live) and len(aside) > 1:
         raise OSError(f"{path} is missing and more than one older version of it is there")
-    for status in aside:
-        if not files.rename(status.getPath(), live):
+    for old in aside:
+        if files.exists(live):
+            files.delete(old, True)
+        elif not files.rename(old, live):
             raise OSError(f"could not bring {path} back")
+    for fresh in beside(NEXT):
+        if exists(spark, f"{fresh.toString()}/{WHOLE}"):
+            _move_days(spark, fresh.toString(), path)
+        else:
+            files.delete(fresh, True)
 
 
 def _swap(spark: SparkSession, fresh: str, path: str) -> None:

@@ -116,6 +116,18 @@ def test_a_swap_stopped_halfway_loses_nothing(spark, folder):
     assert {r.transaction_id for r in spark.read.parquet(path).collect()} == {"A", "B", "C"}
 
 
+def test_a_day_run_after_a_run_over_all_counts_no_reject_twice(spark, folder):
+    lake = P.Lake(folder)
+    for day, ids in ((1, "AB"), (2, "CD")):
+        rows = [{"transaction_id": i, "amount": "N/A" if i in "AC" else "5"} for i in ids]
+        raw(spark, *rows).write.mode("overwrite").json(f"{lake.path('raw')}/ingest_dt=2026-03-{day:02d}")
+    now = datetime(2026, 3, 12)
+    want = {"A", "C"}
+    for day in (None, date(2026, 3, 1), date(2026, 3, 2), None, date(2026, 3, 1)):
+        P.run_bronze(spark, lake, now, day)
+        assert sorted(r.transaction_id for r in readers.quarantine(spark, lake.path("quarantine")).collect()) == sorted(want)
+
+
 def test_keys_with_nulls_are_inserted_not_merged(spark, folder):
     path = f"{folder}/t"
     writers.upsert_table(table(spark, (None, 1, 1), (None, 1, 2)), path, ["transaction_id"])

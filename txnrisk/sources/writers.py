@@ -85,13 +85,23 @@ def append(df: DataFrame, path: str, partition_by: str | None = "dt") -> None:
 
 
 def write_quarantine(rejected: DataFrame, path: str, arrival_day: date | None = None) -> None:
-    """Dead letters of one arrival day, in place of those an earlier run over that day left; without
-    a day, of all raw files, in place of everything. The reasons stay as text."""
+    """Dead letters, filed by the day their raw rows arrived, in place of those earlier runs left; the
+    reasons stay as text.
+
+    With a day that day's folder is replaced. Without one, a run over all raw files replaces everything
+    and files each row under its own arrival day, the column ``ingest_dt`` that the raw folders give (rows of
+    raw files outside such folders under ``none``), so that a later run of one day replaces what it judges
+    again and counts nothing twice.
+    """
     home = path.rstrip("/")
-    if arrival_day is None:
-        _drop_folder(rejected.sparkSession, home)
-    rows = rejected.drop("rejection_reasons")
-    _laid_out(rows, "dt", mode="overwrite").save(f"{home}/arrival={arrival_day or 'all'}")
+    rows = rejected.drop("rejection_reasons", "ingest_dt")
+    if arrival_day is not None:
+        _laid_out(rows, "dt", mode="overwrite").save(f"{home}/arrival={arrival_day}")
+        return
+    day = F.col("ingest_dt").cast("string") if "ingest_dt" in rejected.columns else F.lit(None)
+    filed = rejected.withColumn("arrival", F.coalesce(day, F.lit("none"))).select(*rows.columns, "arrival")
+    filed = filed.hint("rebalance", "arrival", "dt")
+    filed.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", CODEC).partitionBy("arrival", "dt").parquet(home)
 
 
 def overwrite_snapshot(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,13 +95,35 @@ def test_chunks_overlap_and_cover(spark):
     assert words[1][0] == "240" and words[-1][-1] == "899"
 
 
-def test_top_k_in_one_or_many_passes(spark, monkeypatch):
+def test_top_k_in_blocks_of_any_size(spark):
     corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(-5, 6)], "item_id int, vector array<double>")
     queries = spark.createDataFrame([(f"q{j}", [float(j), 1.0]) for j in range(4)], "query_id string, vector array<double>")
     once = R.top_k_cosine(queries, corpus, 3)
     best = {r["query_id"]: r["item_id"] for r in once.where("rank = 1").collect()}
     assert best == {f"q{j}": j for j in range(4)} and once.count() == 12
-    monkeypatch.setattr(R, "QUERIES_PER_PASS", 1)
-    assert R.top_k_cosine(queries, corpus, 3).exceptAll(once).count() == 0
+    assert R.top_k_cosine(queries, corpus, 3, block=2).exceptAll(once).count() == 0
     cited = R.citations(once.withColumn("document", F.lit("p.md")), "document").where("query_id = 'q1' AND rank = 1").first()
     assert cited["citation"] == "[1] source: p.md (relevance 1.0)"
+
+
+def test_blocked_products_against_every_pair(spark):
+    """Many equal vectors, zeros, missing and short ones; names as ids."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (90, 4)).astype(float).tolist()
+    rows = [(f"i{i:02d}", v) for i, v in enumerate(vectors)] + [("zero", [0.0] * 4), ("none", None), ("short", [1.0]), ("gap", [1.0, None, 0.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "item_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, len(rows), 3)], "query_id int, vector array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in [*a, *b] or not any(a) or not any(b):
+            return None
+        dot = sum(x * y for x, y in zip(a, b, strict=True))
+        return dot / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    want = set()
+    for q in range(0, len(rows), 3):
+        found = sorted(((cosine(rows[q][1], v), i) for i, v in rows), key=lambda f: (-3 if f[0] is None else -f[0] - 10, f[1]))
+        want |= {(q, rank, i, None if s is None else round(s + 1e-12, 4)) for rank, (s, i) in enumerate(found[:5], 1)}
+    for block in (1, 7, 512):
+        assert {tuple(r) for r in R.top_k_cosine(asked, corpus, block=block).collect()} == want
+    assert R.top_k_cosine(asked.limit(0), corpus).isEmpty() and R.top_k_cosine(asked, corpus.limit(0)).isEmpty()

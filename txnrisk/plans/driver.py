@@ -295,9 +295,9 @@ def _scored(t: Tables) -> DataFrame:
 
 
 def _nearest(t: Tables) -> DataFrame:
-    """The five closest vectors to one representative of each label."""
+    """The five closest vectors to every vector whose id is divisible by 20, itself among them."""
     vectors = t.given("embeddings")
-    asked = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     corpus = vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     return R.top_k_cosine(asked, corpus)
 

@@ -353,7 +353,7 @@ _STATE_TEXT = """SELECT customer_id,
     FROM live GROUP BY customer_id"""
 
 _NEAREST = """
-    WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label),
+    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
     scored AS (SELECT query_id, vec_id AS item_id, list_cosine_similarity(embedding::DOUBLE[], v) AS exact FROM embeddings, q),
     nearest AS (SELECT query_id, CAST(rank AS INT) AS rank, item_id, {score} AS score
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, item_id) AS rank FROM scored) WHERE rank <= 5)

@@ -50,11 +50,15 @@ def code_points(text: str) -> np.ndarray:
 # --- neighbours in a global order -------------------------------------------------------------
 
 
+ROUNDS = 32  # ranges per core of the cluster at most
+
+
 class Ranges:
     """Consecutive ranges of a sort key, with the keys at their ends.
 
-    Only the ends, two keys per range, come to the driver; the number of ranges is chosen by the
-    caller from the size of the data divided by what one task should hold.
+    Only the ends, two keys per range, come to the driver. There are as many ranges as tasks of the wanted
+    size need, but no more than a number of rounds of the cluster's cores: the driver's part grows with the
+    cluster, not with the data. A range is sorted on disk and read once, so it may be larger than memory.
     """
 
     def __init__(self, ends: list[tuple[tuple, tuple]]):
@@ -65,6 +69,7 @@ class Ranges:
     def of(cls, keys: DataFrame, columns: list[str], n: int) -> Ranges:
         """``columns`` must hold no nulls; they are compared as Spark sorts them, ascending."""
         key = F.struct(*columns)
+        n = max(1, min(n, ROUNDS * keys.sparkSession.sparkContext.defaultParallelism))
         ends = (
             keys.select(*columns)
             .repartitionByRange(n, *columns)

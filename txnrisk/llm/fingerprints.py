@@ -3,20 +3,23 @@
 A k-mer of code points is taken when the smallest hash among its s-mers is that of its first or last
 one. Whether it is taken depends on its own characters only, so the same passage gives the same
 anchors wherever it stands. The fingerprint is the anchors' 24-bit hashes in text order; two
-fingerprints are compared as multisets.
+fingerprints are compared by the anchors that match in the same order, so a text whose parts have
+changed places is not the same text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrisk.llm.common import Ranges, code_points, rows, spread, stage
 
@@ -94,13 +97,68 @@ def written(found: np.ndarray) -> str:
     return base64.b64encode(found.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
 
 
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """How many anchors of two fingerprints match in order.
+
+    What both begin and end with matches. Between, anchors that occur once in either are placed against each
+    other; the longest run of them that ascends in both is the chain, and from each of its anchors the match
+    goes on in both directions as long as the anchors beside are equal, up to the next one of the chain.
+    """
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b, n = a[head:], b[head:], n - head
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    both = np.intersect1d(_once(a), _once(b), assume_unique=True)
+    if not len(both):
+        return head + tail
+    at_a, at_b = (np.flatnonzero(np.isin(x, both)) for x in (a, b))
+    by_value = at_b[np.argsort(b[at_b])]
+    place = by_value[np.searchsorted(both, a[at_a])]
+    # the longest ascending run of places, by the least end of every length
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(place)
+    for i, p in enumerate(place.tolist()):
+        size = bisect_left(ends, p)
+        before[i] = last[size - 1] if size else -1
+        if size == len(ends):
+            ends.append(p)
+            last.append(i)
+        else:
+            ends[size], last[size] = p, i
+    chain, i = [], last[-1]
+    while i >= 0:
+        chain.append((int(at_a[i]), int(place[i])))
+        i = before[i]
+    chain.reverse()
+    matched = head + tail + len(chain)
+    x, y = a.tolist(), b.tolist()
+    low = (0, 0)  # what is not matched yet
+    for (i, j), (i_next, j_next) in zip(chain, [*chain[1:], (len(x), len(y))], strict=True):
+        back = 1
+        while i - back >= low[0] and j - back >= low[1] and x[i - back] == y[j - back]:
+            back += 1
+        on = 1
+        while i + on < i_next and j + on < j_next and x[i + on] == y[j + on]:
+            on += 1
+        matched += back - 1 + on - 1
+        low = (i + on, j + on)
+    return matched
+
+
+def _once(found: np.ndarray) -> np.ndarray:
+    values, counts = np.unique(found, return_counts=True)
+    return values[counts == 1]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Twice the common anchors over all anchors, repeats counted; two empty fingerprints are alike."""
+    """Twice the anchors that match in order over all anchors; two empty fingerprints are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both, side = np.unique(np.concatenate((a, b)), return_inverse=True)
-    left, right = (np.bincount(x, minlength=len(both)) for x in (side[: len(a)], side[len(a) :]))
-    return float(2 * np.minimum(left, right).sum() / (len(a) + len(b)))
+    return 2 * aligned(a, b) / (len(a) + len(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -109,6 +167,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def descending(docs: DataFrame, id_col: str) -> Column:
+    """A key that ascends where ids descend: numbers negated, texts by the complement of their bytes."""
+    if isinstance(docs.schema[id_col].dataType, T.StringType):
+        inverse = F.translate(F.hex(F.col(id_col)), "0123456789ABCDEF", "FEDCBA9876543210")
+        return F.coalesce(F.concat(inverse, F.lit("~")), F.lit(""))
+    return -F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
+
+
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -122,7 +188,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns = ["k1", "k2", "k3"]
     keyed = docs.select(
         F.col(id_col).isNull().cast("int").alias("k1"),
-        (-F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))).alias("k2"),
+        descending(docs, id_col).alias("k2"),
         F.xxhash64(text).alias("k3"),
         F.col(id_col).alias("id"),
         text.alias("text"),

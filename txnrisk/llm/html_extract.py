@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +27,8 @@ RANGE_BYTES = 16_000_000  # of HTML that one range of pages should hold
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|math|object)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
@@ -67,13 +66,24 @@ def zone_of(tag: str, attributes: str) -> int | None:
                 article = article or value in ("main", "article")
             elif name in ("class", "id") and tag not in ("html", "body"):
                 words = value.split()
-                if any(w in FURNITURE_WORDS or re.split(r"[-_]+", w)[0] in FURNITURE_WORDS for w in words):
+                if any(part in FURNITURE_WORDS for w in words for part in (w, *re.split(r"[-_]+", w)[:: max(1, len(re.split(r"[-_]+", w)) - 1)])):
                     return FURNITURE_ZONE
             elif name == "itemprop" and value == "articlebody":
                 article = True
     return ARTICLE_ZONE if article else None
 
 
+def _markup(page: str) -> Iterator[re.Match]:
+    """The matches of MARKUP in order. Where no > follows, no tag can end, and none is looked for: a page of tags
+    that are never closed is read once, not once a tag."""
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0 and (at < last or page.startswith("<!--", at)):
+        found = MARKUP.match(page, at)
+        if found:
+            yield found
+        at = page.find("<", found.end() if found else at + 1)
+
+
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
     """The blocks of a page with text in them, in order, and the zone of each."""
     texts: list[str] = []
@@ -90,7 +100,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
                 texts.append(text)
                 zones.append(zone)
 
-    for found in MARKUP.finditer(page):
+    for found in _markup(page):
         if found.start() > at:
             held.append(page[at : found.start()])
         at = found.end()
@@ -133,33 +143,42 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (by matching pairs, longest increasing run)."""
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Bit-parallel: row i has a bit for every line of ``b`` at which the length of the subsequence of the first i
+    lines of ``a`` grows, so a row is a few operations on one number, however often lines recur.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):  # descending, so that one line of a takes one place
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple[int, tuple | None]] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            n = bisect_left(ends, j)
-            chain = (i, chains[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(j)
-                chains.append(chain)
-            else:
-                ends[n] = j
-                chains[n] = chain
     found = set(range(head)) | set(range(len(a) - tail, len(a)))
-    chain = chains[-1] if chains else None
-    while chain:
-        found.add(chain[0])
-        chain = chain[1]
+    one, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    places: dict[int, int] = {}
+    wanted = set(one)
+    for j, line in enumerate(other):
+        if line in wanted:
+            places[line] = places.get(line, 0) | 1 << j
+    kept = [i for i, line in enumerate(one) if line in places]  # no other line takes part
+    every = (1 << len(other)) - 1
+    grows, rows_ = 0, [0]
+    for i in kept:
+        flat = every & ~grows
+        hit = flat & places[one[i]]
+        grows = every & ~((flat + hit) | (flat - hit))
+        rows_.append(grows)
+    n, j = len(kept), len(other)
+    while n and j:
+        j = (rows_[n] & ((1 << j) - 1)).bit_length()  # up to the last line at which row n grows
+        if not j:
+            break
+        if (rows_[n - 1] & ((1 << j) - 1)).bit_count() == (rows_[n] & ((1 << j) - 1)).bit_count():
+            n -= 1
+        else:
+            n, j = n - 1, j - 1
+            found.add(head + kept[n])
     return found
 
 
@@ -182,7 +201,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null html is an empty page with empty text; a null URL has an empty host and path and is compared
     with others of its kind. Of two neighbours alike near, the earlier is the partner; the only page of
-    a host has none. Pages with the same URL follow each other by id, repeated rows all come out, an
+    a host has none. A neighbour with the very lines of the page, a mirror or the same page again, tells nothing
+    and is no partner. Pages with the same URL follow each other by id, repeated rows all come out, an
     empty table gives an empty one, other columns are not read. Hosts of any size are split: pages are
     dealt by ranges of (host, path, id), each with a copy of the page on either side.
     """
@@ -220,7 +240,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         now: dict | None = None
 
         def judged(previous: dict | None, page: dict, following: dict | None) -> tuple:
-            near = [p for p in (previous, following) if p and p["host"] == page["host"] and not (p["k"] == page["k"] and p["path"] == page["path"])]
+            near = [p for p in (previous, following) if p and p["host"] == page["host"] and p["hashes"] != page["hashes"]]
             partner = max(near, key=lambda p: len(_common_start(p["path"], page["path"])), default=None)
             text = main_text(page["lines"], page["zones"], page["hashes"], partner and partner["hashes"])
             return page["id"], page["url"], text, len(text)

@@ -206,6 +206,18 @@ def _upserted(t: Tables) -> DataFrame:
     return portable(merged.select("transaction_id", "amount", "schema_version", "auth_response_code", "ingest_timestamp"))
 
 
+def _replayed(t: Tables) -> DataFrame:
+    """A stored table after a batch that corrects three days, moving some rows to the next day, and its replay."""
+    bronze = t.bronze().select("transaction_id", "amount", "dt")
+    path = scratch.new_path(t.spark, "upsert-replayed")
+    writers.upsert_table(bronze, path, ["transaction_id"])
+    later = F.when(F.expr("cast(substring(transaction_id, 2) AS bigint) % 3 = 0"), F.date_add("dt", 1)).otherwise(F.col("dt"))
+    batch = bronze.where("dt BETWEEN '2024-01-10' AND '2024-01-12'").withColumns({"amount": (F.col("amount") + 1).cast("decimal(12,2)"), "dt": later})
+    for _ in range(2):
+        writers.upsert_table(batch, path, ["transaction_id"])
+    return portable(t.spark.read.parquet(path).select("transaction_id", "amount", "dt"))
+
+
 def _evolved(t: Tables) -> DataFrame:
     """Old rows without the newer column beside new rows with it."""
     bronze = t.bronze()
@@ -429,6 +441,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "schema_evolution": _evolved,
     "replay_proof": lambda t: M.replay_proof(t.bronze()),
     "upsert_transactions": _upserted,
+    "upsert_replayed_table": _replayed,
     "referential_orphans": _orphans,
     "velocity_features": _bronze_features("velocity"),
     "amount_zscore": _bronze_features("baseline"),

@@ -417,6 +417,12 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, dt >= DATE '2024-01-15' OR schema_version = 2 AS batch FROM bronze)""",
             "bronze",
         ),
+        "upsert_replayed_table": _with(
+            """SELECT transaction_id, CAST(amount + CASE WHEN batch THEN 1 ELSE 0 END AS DOUBLE) AS amount,
+               CAST(dt + CASE WHEN batch AND CAST(substr(transaction_id, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS DATE) AS dt
+               FROM (SELECT *, dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' AS batch FROM bronze)""",
+            "bronze",
+        ),
         "referential_orphans": _with(
             "SELECT merchant_id, count(*) AS rows_without_parent FROM bronze WHERE merchant_id NOT IN (SELECT merchant_id FROM early_dim) GROUP BY 1",
             "early_dim",

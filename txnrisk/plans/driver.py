@@ -498,6 +498,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "fraud_value_daily": lambda t: VL.fraud_value_daily(t.silver(), rule_scores(t.silver())),
     "online_state": _online_state,
     "online_features": _online_features,
+    "online_features_exact": lambda t: _rounded(O.exact_features(_events(t), _now())),
     "layered_features": _layered,
     "feature_matrix": lambda t: MF.matrix(t.silver()),
     "stratified_split": lambda t: _split_counts(SP.stratified_split(t.silver())),

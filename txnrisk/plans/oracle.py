@@ -238,6 +238,8 @@ _CTE["online"] = f"""
            CASE WHEN count(*) >= 3 AND stddev_samp(a) > 0 THEN stddev_samp(a) END AS amount_stddev_30d
     FROM live GROUP BY customer_id"""
 
+_CTE["online_exact"] = _CTE["online"].replace("FROM live", f"FROM readable WHERE {NOW} - t <= 2592000").replace("count(*) AS prior_txn_count_30d", "count(*) > 60 AS truncated, count(*) AS prior_txn_count_30d")
+
 _NEEDS: dict[str, list[str]] = {
     "raw": [], "flagged": ["raw"], "valid": ["flagged"], "bronze": ["valid"], "timed": ["bronze"],
     "velocity": ["timed"], "based": ["velocity"], "scored": ["based"], "lagged": ["scored"],
@@ -247,7 +249,7 @@ _NEEDS: dict[str, list[str]] = {
     "cuts_1": ["models"], "f1_1": ["cuts_1"], "hist_1": ["models"], "ranks_1": ["hist_1"],
     "cuts_2": ["models"], "f1_2": ["cuts_2"], "hist_2": ["models"], "ranks_2": ["hist_2"],
     "model_metrics": ["ranks_2", "f1_2", "cuts_2", "confirmed", "silver"],
-    "readable": ["raw"], "live": ["readable"], "online": ["live"],
+    "readable": ["raw"], "live": ["readable"], "online": ["live"], "online_exact": ["readable"],
 }
 
 
@@ -575,6 +577,7 @@ def oracle_sql() -> dict[str, str]:
         "fraud_value_daily": _with("SELECT * FROM value", "value"),
         "online_state": _with(_STATE_TEXT, "live"),
         "online_features": _with(f"SELECT customer_id, txn_count_1h, txn_count_24h, prior_txn_count_30d, {online} FROM online", "online"),
+        "online_features_exact": _with(f"SELECT customer_id, txn_count_1h, txn_count_24h, prior_txn_count_30d, truncated, {online} FROM online_exact", "online_exact"),
         "layered_features": _with(
             f"""SELECT * REPLACE ({rnd('amount_zscore_30d', 4)} AS amount_zscore_30d, {rnd('amount_sum_1h', 4)} AS amount_sum_1h,
                        {rnd('amount_sum_24h', 4)} AS amount_sum_24h, {rnd('seconds_since_prior_txn', 4)} AS seconds_since_prior_txn),

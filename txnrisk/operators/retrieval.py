@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,7 +133,13 @@ def top_k_cosine(
                 columns = [a_ids.take(pa.array(asked)), b_ids.take(pa.array(row)), pa.array(score, mask=np.isnan(score))]
                 yield pa.RecordBatch.from_arrays(columns, names=["asked", "found", "exact"])
 
-    pairs = _blocks(queries, query_id, block, "a").crossJoin(_blocks(corpus, item_id, block, "b"))
+    # a grid with a cell per core: a block of questions goes to the cells of its row, one of the corpus to its column's
+    side = math.isqrt(max(0, queries.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+    line = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    own_row, own_column = (F.pmod(F.xxhash64(f"{x}ids", f"{x}dim"), F.lit(side)).cast("int") for x in "ab")
+    asked = _blocks(queries, query_id, block, "a").withColumn("x", own_row).withColumn("y", line)
+    rows = _blocks(corpus, item_id, block, "b").withColumn("y", own_column).withColumn("x", line)
+    pairs = asked.join(rows, ["x", "y"]).select("aids", "adim", "avalues", "bids", "bdim", "bvalues")
     scored = pairs.mapInArrow(product, f"asked {kinds[0]}, found {kinds[1]}, exact double")
     order = Window.partitionBy("asked").orderBy(F.desc("exact"), "found")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -121,3 +121,15 @@ def test_row_order_and_partitioning_do_not_matter(spark):
     a = H.customer_history(rows).collect()
     b = H.customer_history(rows.repartition(7, "amount")).collect()
     assert sorted(map(str, a)) == sorted(map(str, b)) and START.year == 2026
+
+
+def test_merchants_are_netted_by_second_before_the_running_sum(spark):
+    """A customer with a new merchant in every row: no block holds more changes than it has seconds."""
+    rows = bronze(spark, *[{"customer_id": "HOT", "merchant_id": f"M{i}", "seconds": i % 40, "amount": 5} for i in range(1200)])
+    netted = H._merchant_changes(rows, F.lit(10**12))
+    assert netted.count() == 80 and netted.agg(F.sum("n"), F.max("n")).first()[:] == (0, 30)
+    counts = H.velocity_features(rows).select(F.col("distinct_merchants_24h").alias("n"), F.second("transaction_timestamp").alias("s"))
+    wrong = counts.where(F.col("n") != (F.col("s") - counts.agg(F.min("s")).scalar() + 1) * 30)
+    assert counts.count() == 1200 and wrong.isEmpty()
+    plan = H.velocity_features(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(sign" in plan

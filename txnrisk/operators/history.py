@@ -15,7 +15,8 @@ window is a running sum over *changes* instead:
 A task's group is then bounded by the clock (one cell a second, 5 days) and not by the number
 of transactions, the work is linear, and one customer's history is spread over many tasks.
 Distinct merchants use the same sum: a merchant is worth 1 from a visit until 24 hours after it,
-its visits of one day merged beforehand.
+its visits of one day merged beforehand. What begins and ends in one second is netted before the
+running sum, so that a customer with as many merchants as rows is bounded by the clock, too.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Frame:
 LAST_HOUR = Frame(1, 0, S.HOUR)
 LAST_DAY = Frame(2, 0, S.DAY)
 PRIOR_MONTH = Frame(3, 1, S.MONTH)
-MERCHANT = 4  # frame code of merchant presences, whose ends are in the data
+MERCHANT = 4  # frame code of changes in the number of merchants, whose seconds are in the data
 
 
 def _block(second: Column) -> Column:
@@ -68,8 +69,10 @@ def _cells(df: DataFrame) -> DataFrame:
     )
 
 
-def _merchant_presences(df: DataFrame) -> DataFrame:
-    """(customer, from, to): disjoint spans in which a merchant was seen within 24 hours.
+def _merchant_changes(df: DataFrame, end: Column) -> DataFrame:
+    """(customer, second, n): by how many the merchants seen within 24 hours change in that second.
+
+    A merchant's spans are disjoint: it enters with a visit and leaves 24 hours after the last one.
 
     Two visits on one UTC day are never more than 24 hours apart, so a day reduces to its first
     and last visit before the shuffle. A span stops early where the next day's span begins.
@@ -85,7 +88,19 @@ def _merchant_presences(df: DataFrame) -> DataFrame:
     following = F.lead("from").over(Window.partitionBy(KEY, "merchant_id").orderBy("day"))
     # least() skips the NULL of a merchant's final span.
     until = F.least(F.col("last") + S.DAY, following - 1)
-    return days.select(KEY, "from", until.alias("to"))
+    ends = F.array(
+        F.struct(F.col("from").alias("second"), F.lit(1).alias("sign")),
+        F.struct((F.col("until") + 1).alias("second"), F.lit(-1).alias("sign")),
+    )
+    # Summed on the map side first: a task sends one row per (customer, second), whatever the merchants.
+    return (
+        days.select(KEY, "from", until.alias("until"))
+        .select(KEY, F.inline(ends))
+        .where(F.col("second") <= end)
+        .groupBy(KEY, "second")
+        .agg(F.sum("sign").alias("n"))
+        .where("n <> 0")
+    )
 
 
 def _spread(df: DataFrame, moments: list[tuple[Column, int, int]]) -> DataFrame:
@@ -120,7 +135,8 @@ def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFr
     """Per (customer, second): for each frame ``n_<code>``, ``cents_<code>``,
     ``squares_<code>``, and with ``merchants`` also ``n_4``."""
     # Nothing is asked about after the last row, so what leaves a frame later is not moved.
-    end = df.agg(F.max(X.whole_second(F.col("transaction_timestamp")))).scalar().alias("end")
+    last = df.agg(F.max(X.whole_second(F.col("transaction_timestamp")))).scalar()
+    end = last.alias("end")
     second = F.col("second")
     moments = [(second, 0, 0)]
     for frame in frames:
@@ -128,15 +144,13 @@ def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFr
     shared = [KEY, "block", "at", "frame", "sign", "n", "cents", "squares"]
     changes = _spread(_cells(df).select("*", end), moments).select(*shared)
     if merchants:
-        visits = _merchant_presences(df).select(
+        visits = _merchant_changes(df, last).select(
             "*",
-            F.lit(1).cast("long").alias("n"),
             F.lit(0).cast("long").alias("cents"),
             F.lit(0).cast("decimal(38,0)").alias("squares"),
             end,
         )
-        spans = [(F.col("from"), MERCHANT, 1), (F.col("to") + 1, MERCHANT, -1)]
-        changes = changes.unionByName(_spread(visits, spans).select(*shared))
+        changes = changes.unionByName(_spread(visits, [(second, MERCHANT, 1)]).select(*shared))
 
     wanted = [(frame.code, value) for frame in frames for value in _values(frame)]
     wanted += [(MERCHANT, "n")] if merchants else []

@@ -97,3 +97,43 @@ def test_the_split_takes_its_share_and_seed(spark):
     assert half.where("in_holdout").join(other.where("in_holdout"), "transaction_id").count() < 200
     by_day = SP.train_holdout(rows, "temporal", holdout=0.4)  # no event time: the day decides
     assert by_day.where("in_holdout").count() == 160 and by_day.where("in_holdout AND dt <= '2024-01-06'").isEmpty()
+
+
+def test_exact_ranks_keep_what_six_decimals_lose(spark, sample):
+    """Scores a billionth apart, two models of unequal size, one of a single class, a missing score."""
+    rng = np.random.default_rng(8)
+    score, fraud = np.round(rng.random(600), 2) * 1e-8, rng.random(600) < 0.3
+    rows = [("a", bool(f), float(s)) for f, s in zip(fraud, score)] + [("b", False, 0.5), ("b", None, 0.25), ("b", True, None)]
+    df = spark.createDataFrame(rows, "model_name string, is_fraud boolean, score double")
+    pos, neg = score[fraud], score[~fraud]
+    auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    ap, seen = 0.0, 0.0
+    for t in sorted(set(score), reverse=True):
+        recall = (score[fraud] >= t).mean()
+        ap += (recall - seen) * fraud[score >= t].mean()
+        seen = recall
+    got = {r["model_name"]: r for r in E.exact_ranking_metrics(df, by=["model_name"]).collect()}
+    assert got["a"]["roc_auc"] == pytest.approx(auc, abs=6e-5) and got["a"]["average_precision"] == pytest.approx(ap, abs=6e-5)
+    assert got["b"]["roc_auc"] is None and got["b"]["average_precision"] is None
+    assert E.ranking_metrics(df.where("model_name = 'a'")).first()["roc_auc"] == 0.5
+    assert E.exact_ranking_metrics(sample[0]).collect() == E.ranking_metrics(sample[0]).collect()
+    assert E.exact_ranking_metrics(df.limit(0), by=["model_name"]).isEmpty()
+
+
+def test_folds_are_dealt_in_turn_within_a_label(spark, sample):
+    df, fraud, _ = sample
+    got = {r["transaction_id"]: r["fold"] for r in SP.stratified_folds(df.withColumn("_n", F.lit(1)), 5).collect()}
+    for label in (True, False):
+        ids = sorted((f"T{i}" for i in np.flatnonzero(fraud == label)), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+        assert [got[i] for i in ids] == [n % 5 for n in range(len(ids))]
+    repeated = SP.stratified_folds(df.limit(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(10)))), 5).groupBy("fold").count()
+    assert sorted(map(tuple, repeated.collect())) == [(i, 2) for i in range(5)]
+    assert SP.stratified_folds(df.limit(0), 5).columns == [*df.columns, "fold"] and SP.stratified_folds(df.limit(0), 5).isEmpty()
+
+
+def test_stability_is_the_mean_and_spread_of_the_folds(sample):
+    df, _, _ = sample
+    dealt = SP.stratified_folds(df, 4).withColumn("model_name", F.lit("m"))
+    areas = [E.ranking_metrics(dealt.where(F.col("fold") == k), digits=8).first()["roc_auc"] for k in range(4)]
+    row = E.fold_stability(dealt).first()
+    assert row["folds"] == 4 and row["cv_auc_mean"] == pytest.approx(np.mean(areas), abs=6e-5) and row["cv_auc_std"] == pytest.approx(np.std(areas), abs=6e-5)

@@ -12,7 +12,6 @@ from pyspark.ml.classification import (
     LogisticRegressionModel,
     RandomForestClassificationModel,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -253,27 +252,27 @@ def _metrics(holdout: DataFrame, threshold: float) -> DataFrame:
     columns = {**SCORE_COLUMNS, "ensemble": ENSEMBLE_SCORE}
     rows = [F.struct(F.lit(name).alias("model_name"), F.col(c).alias("score")) for name, c in columns.items()]
     long = holdout.select((F.col("label") == 1.0).alias("is_fraud"), F.inline(F.array(*rows)))
-    rated = E.holdout_metrics(long, threshold)
+    rated = E.holdout_metrics(long, threshold, ranking=E.exact_ranking_metrics)
     return rated.withColumn("decision_threshold", F.lit(round(threshold, 4)))
 
 
 def _cross_validated(spark: SparkSession, estimators: dict, learn: DataFrame, folds: int) -> DataFrame:
-    """Mean and deviation of the AUC over folds of the training side, for the tree members."""
+    """Mean and deviation of the AUC over stratified folds of the training side, for the tree members. The
+    scores of all members and folds are judged in one pass over bounded histograms."""
     schema = "model_name STRING, cv5_auc_mean DOUBLE, cv5_auc_std DOUBLE"
     if folds < 2:
         return spark.createDataFrame([], schema)
-    divided = learn.withColumn("fold", F.pmod(F.xxhash64(KEY), F.lit(folds)).cast("int"))
-    judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
-    rows = []
+    labelled = learn.withColumn("is_fraud", F.col("label") == 1.0)
+    divided = scratch.stage(SP.stratified_folds(labelled, folds, key=KEY), "folds")
+    judged = None
     for name in CROSS_VALIDATED:
-        areas = []
         for fold in range(folds):
             model = estimators[name].fit(divided.where(F.col("fold") != fold))
-            areas.append(judge.evaluate(model.transform(divided.where(F.col("fold") == fold))))
-        mean = sum(areas) / folds
-        deviation = (sum((area - mean) ** 2 for area in areas) / folds) ** 0.5
-        rows.append((name, round(mean, 4), round(deviation, 4)))
-    return spark.createDataFrame(rows, schema)
+            scored = M.probability(model, divided.where(F.col("fold") == fold), "score")
+            part = scored.select(F.lit(name).alias("model_name"), "fold", "score", "is_fraud")
+            judged = part if judged is None else judged.unionByName(part)
+    steady = E.fold_stability(scratch.stage(judged, "fold_scores"))
+    return steady.select("model_name", F.col("cv_auc_mean").alias("cv5_auc_mean"), F.col("cv_auc_std").alias("cv5_auc_std"))
 
 
 def stamped_scores(training: Training, run_id: str, scored_at: datetime) -> DataFrame:

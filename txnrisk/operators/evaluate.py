@@ -1,15 +1,19 @@
 """Thresholds and ranking metrics from score histograms.
 
 Scores are published with six decimals, so a histogram over distinct scores has at most
-1 000 001 rows per model however many transactions it summarises. Everything below works on it.
+1 000 001 rows per model however many transactions it summarises. Everything below works on it, except
+that :func:`exact_ranking_metrics` takes scores as they are, in ranges of the score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import scalars as X
+from txnrisk.operators import ranks as RK
 
 # --- fixed values: 91 cut points .05, .06 ... .95; 0.5 when none is better ---------------
 FIRST_CUT, LAST_CUT = 5, 95
@@ -104,10 +108,10 @@ def min_cost_threshold(
 
 
 def ranking_metrics(
-    scored: DataFrame, score: str = "score", label: str = "is_fraud", by: list[str] | None = None
+    scored: DataFrame, score: str = "score", label: str = "is_fraud", by: list[str] | None = None, digits: int = 4
 ) -> DataFrame:
-    """``roc_auc`` (ties count half) and ``average_precision``, rounded to four decimals, NULL
-    when a class is missing."""
+    """``roc_auc`` (ties count half) and ``average_precision``, rounded to ``digits`` decimals, NULL
+    when a class is missing. Scores count with six decimals."""
     by = by or []
     hist = _histogram(scored, by, X.rounded(F.col(score).cast("double"), 6), label)
     # Two-level running counts: within a thousandth of the score range, plus what lies above it.
@@ -128,19 +132,61 @@ def ranking_metrics(
             "q0": F.col("neg_above") + F.coalesce(F.sum("neg").over(inside), F.lit(0)),
         }
     )
+    return _areas(ranked, by, digits)
+
+
+def exact_ranking_metrics(
+    scored: DataFrame, score: str = "score", label: str = "is_fraud", by: list[str] | None = None, digits: int = 4
+) -> DataFrame:
+    """:func:`ranking_metrics` of the scores as they are: two scores tie only if they are the same double.
+
+    There may be as many distinct scores as rows, so they are dealt by ranges of (model, score), each with
+    the totals of the ranges before it; a model's own running counts are the global ones less those at its
+    first score. Rows without a score are left out. One model may hold any share of the rows.
+    """
+    by = by or []
+    value = F.col(score).cast("double")
+    fraud = X.labelled(F.col(label))
+    hist = scored.where(value.isNotNull()).groupBy(*by, value.alias("_score")).agg(X.tally(fraud).alias("pos"), X.tally(~fraud).alias("neg"))
+    down = hist.select(*by, (-F.col("_score")).alias("_down"), "pos", "neg")
+    totals = RK.running_totals(down, [*by, "_down"], {"pos": "_p", "neg": "_q"})
+    # One row a model: a bounded broadcast. Running counts only grow, so the least are those at the first score.
+    least = [F.min("_p").alias("_p1"), F.min("_q").alias("_q1")]
+    names = [f"_by{i}" for i in range(len(by))]
+    first = totals.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(*least)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+    both = totals.join(F.broadcast(first), same or F.lit(True))
+    ranked = both.select(*by, "pos", "neg", (F.col("_p") - F.col("_p1")).alias("p0"), (F.col("_q") - F.col("_q1")).alias("q0"))
+    return _areas(ranked, by, digits)
+
+
+def _areas(ranked: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """Both metrics from a row per score: ``pos`` and ``neg`` at it, ``p0`` and ``q0`` above it."""
     wide = F.col("pos").cast("decimal(20,0)")
     wins = wide * (F.col("q0") * 2 + F.col("neg"))  # twice the negatives ranked above or level
     precision = X.ratio(F.col("p0") + F.col("pos"), F.col("p0") + F.col("pos") + F.col("q0") + F.col("neg"))
     positives, negatives = F.sum("pos"), F.sum("neg")
     lost = X.ratio(F.sum(wins), positives.cast("double") * negatives * 2)
     return ranked.groupBy(*by).agg(
-        F.when((positives > 0) & (negatives > 0), X.rounded(1.0 - lost, 4)).alias("roc_auc"),
-        F.when(positives > 0, X.rounded(X.ratio(F.sum(precision * F.col("pos")), positives), 4)).alias(
+        F.when((positives > 0) & (negatives > 0), X.rounded(1.0 - lost, digits)).alias("roc_auc"),
+        F.when(positives > 0, X.rounded(X.ratio(F.sum(precision * F.col("pos")), positives), digits)).alias(
             "average_precision"
         ),
     )
 
 
+def fold_stability(scored: DataFrame, fold: str = "fold", score: str = "score", label: str = "is_fraud", by: list[str] | None = None) -> DataFrame:
+    """``cv_auc_mean`` and ``cv_auc_std`` (of the whole population of folds) per model, over the folds that
+    hold both classes, and how many ``folds`` these are."""
+    by = by or ["model_name"]
+    areas = ranking_metrics(scored, score, label, [*by, fold], digits=8)
+    return areas.groupBy(*by).agg(
+        F.count("roc_auc").alias("folds"),
+        X.rounded(F.avg("roc_auc"), 4).alias("cv_auc_mean"),
+        X.rounded(F.stddev_pop("roc_auc"), 4).alias("cv_auc_std"),
+    )
+
+
 def decision_metrics(
     scored: DataFrame,
     threshold: Column | float,
@@ -169,10 +215,11 @@ def holdout_metrics(
     score: str = "score",
     label: str = "is_fraud",
     by: list[str] | None = None,
+    ranking: Callable[..., DataFrame] = ranking_metrics,
 ) -> DataFrame:
-    """The published row per model."""
+    """The published row per model. ``ranking`` is one of the two above."""
     by = by or ["model_name"]
-    ranks = ranking_metrics(scored, score, label, by)
+    ranks = ranking(scored, score, label, by)
     decisions = decision_metrics(scored, threshold, score, label, by)
     return ranks.join(decisions, by).select(
         *by,

@@ -306,6 +306,26 @@ def _scored(t: Tables) -> DataFrame:
     return rule_models(t.silver())
 
 
+def _plain_scores(t: Tables) -> DataFrame:
+    """Three scorers with nothing rounded away, for the exact ranks."""
+    usd = F.col("amount").cast("double")
+    scores = {
+        "amount": usd / 7000.0,
+        "speed": 1.0 - 1.0 / (1.0 + F.coalesce(F.col("seconds_since_prior_txn"), F.lit(0)).cast("double")),
+        "busy": usd / (1.0 + F.col("txn_count_24h").cast("double")),
+    }
+    members = [F.struct(F.lit(n).alias("model_name"), s.alias("score")) for n, s in scores.items()]
+    return t.silver().select("is_fraud", F.inline(F.array(*members)))
+
+
+def _fold_scores(t: Tables) -> DataFrame:
+    """The deterministic scorers on five stratified folds."""
+    folds = SP.stratified_folds(t.silver().select("transaction_id", "is_fraud", "amount", "merchant_risk_score", "fraud_signal_count", "dt"), 5)
+    amount = X.rounded(F.col("amount").cast("double") / 1000.0, 6)
+    members = {"amount": amount, "merchant": F.col("merchant_risk_score"), "signals": F.col("fraud_signal_count") / F.lit(4.0)}
+    return folds.select("fold", "is_fraud", F.inline(F.array(*[F.struct(F.lit(n).alias("model_name"), s.alias("score")) for n, s in members.items()])))
+
+
 def _nearest(t: Tables) -> DataFrame:
     """The five closest vectors to every vector whose id is divisible by 20, itself among them."""
     vectors = t.given("embeddings")
@@ -506,6 +526,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "threshold_f1": lambda t: _rounded(E.best_f1_threshold(_scored(t), by=["model_name"]), 6),
     "threshold_cost": lambda t: E.min_cost_threshold(_scored(t), FP_COST, FN_COST, by=["model_name"]),
     "auc_ap": lambda t: E.ranking_metrics(_scored(t), by=["model_name"]),
+    "auc_ap_exact": lambda t: E.exact_ranking_metrics(_plain_scores(t), by=["model_name"]),
+    "cv_folds": lambda t: SP.stratified_folds(t.silver(), 5).select("transaction_id", "fold"),
+    "cv_auc": lambda t: E.fold_stability(_fold_scores(t)),
     "passage_chunks": lambda t: R.chunk(t.given("documents").select("doc_id", "source", "text")),
     "topk_cosine": _nearest,
     "citations": _cited,

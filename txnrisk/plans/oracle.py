@@ -209,6 +209,24 @@ for _by in ("model_name", "model_run_id, model_name"):
     _CTE[f"hist_{_n}"] = f"SELECT {_by}, score, {when('fraud')} AS pos, {when('NOT fraud')} AS neg FROM models GROUP BY {_by}, score"
     _CTE[f"ranks_{_n}"] = _ranks(_by)
 
+_CTE["plain"] = """
+    SELECT coalesce(is_fraud, FALSE) AS fraud, unnest(['amount', 'speed', 'busy']) AS model_name,
+           unnest([CAST(amount AS DOUBLE) / 7000.0::DOUBLE,
+                   1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + coalesce(seconds_since_prior_txn, 0)::DOUBLE),
+                   CAST(amount AS DOUBLE) / (1.0::DOUBLE + txn_count_24h::DOUBLE)]) AS score
+    FROM silver"""
+_CTE["hist_plain"] = f"SELECT model_name, score, {when('fraud')} AS pos, {when('NOT fraud')} AS neg FROM plain GROUP BY model_name, score"
+_CTE["ranks_plain"] = _ranks("model_name").replace("hist_1", "hist_plain")
+_CTE["folds"] = """
+    SELECT transaction_id, coalesce(is_fraud, FALSE) AS fraud, amount, merchant_risk_score, fraud_signal_count,
+           CAST((row_number() OVER (PARTITION BY coalesce(is_fraud, FALSE) ORDER BY md5(concat(transaction_id, ':', '42')), transaction_id) - 1) % 5 AS INTEGER) AS fold
+    FROM silver"""
+_CTE["fold_models"] = f"""
+    SELECT fold, fraud, 'amount' AS model_name, {rnd('(CAST(amount AS DOUBLE) / 1000.0)', 6)} AS score FROM folds
+    UNION ALL SELECT fold, fraud, 'merchant', merchant_risk_score FROM folds
+    UNION ALL SELECT fold, fraud, 'signals', fraud_signal_count / 4.0::DOUBLE FROM folds"""
+_CTE["fold_hist"] = f"SELECT model_name, fold, score, {when('fraud')} AS pos, {when('NOT fraud')} AS neg FROM fold_models GROUP BY ALL"
+_CTE["fold_areas"] = _ranks("model_name, fold").replace("hist_2", "fold_hist").replace("AS DECIMAL(38,10)), 4)", "AS DECIMAL(38,10)), 8)")
 _CTE["model_metrics"] = f"""
     SELECT r.model_run_id, r.model_name, r.roc_auc AS holdout_roc_auc, f.threshold AS decision_threshold,
            {rnd('(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END)', 4)} AS holdout_precision,
@@ -249,6 +267,8 @@ _NEEDS: dict[str, list[str]] = {
     "cuts_1": ["models"], "f1_1": ["cuts_1"], "hist_1": ["models"], "ranks_1": ["hist_1"],
     "cuts_2": ["models"], "f1_2": ["cuts_2"], "hist_2": ["models"], "ranks_2": ["hist_2"],
     "model_metrics": ["ranks_2", "f1_2", "cuts_2", "confirmed", "silver"],
+    "plain": ["silver"], "hist_plain": ["plain"], "ranks_plain": ["hist_plain"],
+    "folds": ["silver"], "fold_models": ["folds"], "fold_hist": ["fold_models"], "fold_areas": ["fold_hist"],
     "readable": ["raw"], "live": ["readable"], "online": ["live"], "online_exact": ["readable"],
 }
 
@@ -618,6 +638,13 @@ def oracle_sql() -> dict[str, str]:
             "cuts_1",
         ),
         "auc_ap": _with("SELECT * FROM ranks_1", "ranks_1"),
+        "auc_ap_exact": _with("SELECT * FROM ranks_plain", "ranks_plain"),
+        "cv_folds": _with("SELECT transaction_id, fold FROM folds", "folds"),
+        "cv_auc": _with(
+            f"""SELECT model_name, count(roc_auc) AS folds, {rnd('avg(roc_auc)', 4)} AS cv_auc_mean,
+                {rnd('stddev_pop(roc_auc)', 4)} AS cv_auc_std FROM fold_areas GROUP BY 1""",
+            "fold_areas",
+        ),
         "passage_chunks": r"""
             WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
             n AS (SELECT *, len(words) AS n FROM w WHERE len(words) > 0),

@@ -98,6 +98,18 @@ def test_ingest_metrics(spark):
     assert tuple(M.ingest_metrics(good, bad).first()) == (3, 1, 25.0)
     nothing = spark.createDataFrame([], S.RAW)
     assert tuple(M.ingest_metrics(*B.split(nothing, NOW)).first()) == (0, 0, 0.0)
+    rows = raw(spark, {}, {}, {}, {"amount": None})
+    once = M.intake_metrics(B.flag_defects(rows))
+    assert tuple(once.first()) == (3, 1, 25.0) and tuple(M.intake_metrics(B.flag_defects(nothing)).first()) == (0, 0, 0.0)
+    watched, seen = M.watched_intake(B.flag_defects(rows))
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"bronze_rows": 3, "quarantine_rows": 1, "quarantine_pct": 25.0}
+
+
+def test_the_share_of_rejects_takes_one_scan(spark, folder):
+    raw(spark, {}, {"amount": None}).write.parquet(f"{folder}/raw")
+    plan = M.intake_metrics(B.flag_defects(spark.read.parquet(f"{folder}/raw")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_extra_columns_reach_quarantine(spark):

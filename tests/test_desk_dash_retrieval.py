@@ -35,6 +35,17 @@ def test_desk_answers_and_caps(desk):
     assert desk.ask("SELECT mcc FROM fraud_metrics_daily -- LIMIT 9").count() == 2
 
 
+def test_desk_says_whether_rows_were_cut_and_in_what_order(desk):
+    """The cap of the desk is 2."""
+    cut = desk.answer("SELECT explode(sequence(1, 9)) AS n ORDER BY n DESC").collect()
+    assert [tuple(r) for r in cut] == [(9, 1, True), (8, 2, True)]
+    full = desk.answer("SELECT explode(sequence(1, 2)) AS n ORDER BY n DESC").collect()
+    assert [tuple(r) for r in full] == [(2, 1, False), (1, 2, False)]
+    assert desk.answer("SELECT mcc FROM fraud_metrics_daily WHERE mcc = 'none'").isEmpty()
+    with pytest.raises(ValueError, match="truncated"):
+        desk.answer("SELECT 1 AS truncated")
+
+
 @pytest.mark.parametrize(
     "attack",
     [

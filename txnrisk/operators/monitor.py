@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from txnrisk.functions import scalars as X
@@ -34,11 +34,28 @@ def ingest_metrics(bronze: DataFrame, quarantine: DataFrame) -> DataFrame:
     """One row: kept, quarantined, quarantined share in percent (0 on no rows)."""
     kept = bronze.select(F.lit(False).alias("bad"))
     refused = quarantine.select(F.lit(True).alias("bad"))
-    return kept.unionByName(refused).agg(
-        F.count_if(~F.col("bad")).alias("bronze_rows"),
-        F.count_if("bad").alias("quarantine_rows"),
-        F.coalesce(X.percent(F.count_if("bad"), F.count("*"), 4), F.lit(0.0)).alias("quarantine_pct"),
-    )
+    return kept.unionByName(refused).agg(*_intake(F.col("bad")))
+
+
+def _intake(bad: Column) -> list[Column]:
+    return [
+        F.count_if(~bad).alias("bronze_rows"),
+        F.count_if(bad).alias("quarantine_rows"),
+        F.coalesce(X.percent(F.count_if(bad), F.count("*"), 4), F.lit(0.0)).alias("quarantine_pct"),
+    ]
+
+
+def intake_metrics(flagged: DataFrame) -> DataFrame:
+    """The row of :func:`ingest_metrics` from rows that carry ``rejection_reasons``, in one scan."""
+    return flagged.agg(*_intake(F.size("rejection_reasons") > 0))
+
+
+def watched_intake(flagged: DataFrame) -> tuple[DataFrame, Observation]:
+    """``flagged`` unchanged, and the same three numbers, filled in by the first job that reads all of it:
+    a job that writes these rows anyway needs no scan for its counts. A job that stops early, or retries
+    the whole plan, is not what to read them off."""
+    seen = Observation()
+    return flagged.observe(seen, *_intake(F.size("rejection_reasons") > 0)), seen
 
 
 def feature_health(silver: DataFrame) -> DataFrame:

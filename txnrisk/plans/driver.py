@@ -35,11 +35,12 @@ from txnrisk.plans import goldsql as GS
 from txnrisk.plans.fixture import raw_transactions
 from txnrisk.sources import readers, scratch, writers
 from txnrisk.streaming import bronze_stream, customer_state, landing, scoring
-from txnrisk.streaming.triggers import draining
+from txnrisk.streaming.triggers import draining, wanted_runs
 
 # --- fixed values: the events end on 2024-01-30 ------------------------------------------
 AS_OF = datetime(2024, 1, 31)
 FP_COST, FN_COST = 1.0, 20.0
+SMALL_CAP = 10
 # Far fewer rounds than the defaults, so that one machine trains all members in a minute.
 QUICK = EN.Settings(rounds=5, forest_trees=10, isolation_trees=25, kernel_width=64, folds=2)
 # ----------------------------------------------------------------------------------------
@@ -249,8 +250,7 @@ def _quality_report(t: Tables) -> DataFrame:
 
 
 def _health(t: Tables) -> DataFrame:
-    bronze, rejected = B.split(t.raw(), AS_OF)
-    intake = M.ingest_metrics(bronze, rejected)
+    intake = M.intake_metrics(B.flag_defects(t.raw()))
     checks = [M.freshness(t.bronze(), AS_OF), M.drift(t.model_metrics()), M.quarantine_pressure(intake)]
     return Q.outcomes_of(checks)
 
@@ -340,17 +340,26 @@ def _cited(t: Tables) -> DataFrame:
     return R.citations(found, "document").select("query_id", "rank", "citation", "score")
 
 
-def _gold_question(t: Tables) -> DataFrame:
-    """An analyst's question through the desk: only gold, only visible columns, capped."""
-    paths = {"fraud_metrics_daily": t.metrics(), "merchant_risk": t.risk()}
-    desk = GS.GoldDesk(t.spark, {n: d.inputFiles()[0].rsplit("/", 1)[0] for n, d in paths.items()}, "analyst", GS.AGENT_ROW_CAP)
-    return desk.ask(
-        """WITH busy AS (SELECT mcc, sum(transaction_count) AS n FROM fraud_metrics_daily GROUP BY mcc)
+_QUESTION = """WITH busy AS (SELECT mcc, sum(transaction_count) AS n FROM fraud_metrics_daily GROUP BY mcc)
            SELECT r.merchant_id, r.mcc, b.n AS category_transactions, r.fraud_rate_pct
            FROM merchant_risk r JOIN busy b ON r.mcc = b.mcc
            WHERE r.fraud_transaction_count > 0
            ORDER BY r.fraud_rate_pct DESC, r.merchant_id"""
-    )
+
+
+def _desk(t: Tables, cap: int) -> GS.GoldDesk:
+    paths = {"fraud_metrics_daily": t.metrics(), "merchant_risk": t.risk()}
+    return GS.GoldDesk(t.spark, {n: d.inputFiles()[0].rsplit("/", 1)[0] for n, d in paths.items()}, "analyst", cap)
+
+
+def _gold_question(t: Tables) -> DataFrame:
+    """An analyst's question through the desk: only gold, only visible columns, capped."""
+    return _desk(t, GS.AGENT_ROW_CAP).ask(_QUESTION)
+
+
+def _gold_question_cut(t: Tables) -> DataFrame:
+    """The same question under a cap that bites, with the place of each row and whether rows were cut."""
+    return _desk(t, SMALL_CAP).answer(_QUESTION)
 
 
 def _mccs(df: DataFrame) -> DataFrame:
@@ -425,6 +434,13 @@ def _arriving(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(S.RAW).json(f"{_landed(t)}/raw").select(*S.RAW_COLUMNS)
 
 
+def _stream_runs(t: Tables) -> DataFrame:
+    """The runs that the arrivals ask for: one per day of arrival and quarter of an hour."""
+    arrived = X.instant(F.col("ingest_timestamp"))
+    runs = wanted_runs(_arriving(t), F.to_date(arrived), arrived)
+    return portable(_drained(t, runs, "append").drop("batch"))
+
+
 def _stream_customer_state(t: Tables) -> DataFrame:
     events = O.readable_events(_arriving(t), X.instant(F.col("ingest_timestamp")))
     states = _drained(t, customer_state.customer_states(events, _now()), "update")
@@ -456,7 +472,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "bronze_quarantine": lambda t: portable(B.rejected_rows(t.raw(), AS_OF)).drop("rejection_reasons", "rejected_at"),
     "bronze_deduplicated": lambda t: portable(t.bronze()),
     "dedupe_latest": _keep_latest_lines,
-    "ingest_metrics": lambda t: M.ingest_metrics(*B.split(t.raw(), AS_OF)),
+    "ingest_metrics": lambda t: M.intake_metrics(B.flag_defects(t.raw())),
     "schema_version_mix": lambda t: M.schema_version_mix(t.bronze()),
     "schema_evolution": _evolved,
     "replay_proof": lambda t: M.replay_proof(t.bronze()),
@@ -506,6 +522,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         .orderBy(F.desc("ingest_timestamp"), "transaction_id").limit(100)
     ),
     "gold_question": _gold_question,
+    "gold_question_cut": _gold_question_cut,
     "analyst_view": lambda t: GS.persona_view("fraud_metrics_daily", t.metrics(), "analyst"),
     "analyst_risk_view": lambda t: GS.persona_view("merchant_risk", t.risk(), "analyst"),
     "quality_bronze": _quality_bronze,
@@ -534,6 +551,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "citations": _cited,
     "stream_landing": _stream_landing,
     "stream_bronze": _stream_bronze,
+    "stream_runs": _stream_runs,
     "stream_customer_state": _stream_customer_state,
     "ensemble_scores": lambda t: _training(t).scores,
     "ensemble_metrics": lambda t: _training(t).metrics,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------
@@ -57,9 +57,24 @@ class GoldDesk:
         """The rows of ``query``, at most ``cap`` of them."""
         return self.session.sql(self.wrapped(query))
 
-    def wrapped(self, query: str) -> str:
+    def answer(self, query: str) -> DataFrame:
+        """The rows of :meth:`ask` with ``answer_row``, their number from 1 in the order of the question,
+        and ``truncated``: whether there were more. One row beyond the cap is fetched to know, so the
+        windows here hold ``cap`` + 1 rows at most."""
+        rows = self.session.sql(self.wrapped(query, 1))
+        taken = {"answer_row", "truncated", "_seq", "_held"} & set(rows.columns)
+        if taken:
+            raise ValueError(f"columns of the answer: {sorted(taken)}")
+        # A limit leaves one partition, in which the ids follow the order.
+        numbered = rows.withColumn("_seq", F.monotonically_increasing_id())
+        whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counted = numbered.withColumn("answer_row", F.row_number().over(Window.orderBy("_seq"))).withColumn("_held", F.count("*").over(whole))
+        kept = counted.where(F.col("answer_row") <= self.cap).withColumn("truncated", F.col("_held") > self.cap)
+        return kept.drop("_seq", "_held")
+
+    def wrapped(self, query: str, beyond: int = 0) -> str:
         # The newline ends a trailing line comment, which would otherwise swallow the cap.
-        return f"SELECT * FROM (\n{query.strip().rstrip(';')}\n) LIMIT {int(self.cap)}"
+        return f"SELECT * FROM (\n{query.strip().rstrip(';')}\n) LIMIT {int(self.cap) + beyond}"
 
     def listing(self) -> str:
         """Columns and types of every visible table, as DDL."""

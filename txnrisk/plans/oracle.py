@@ -563,6 +563,15 @@ def oracle_sql() -> dict[str, str]:
             "risk",
             "metrics",
         ),
+        "gold_question_cut": _with(
+            """SELECT merchant_id, mcc, category_transactions, fraud_rate_pct, CAST(place AS INTEGER) AS answer_row, held > 10 AS truncated
+               FROM (SELECT r.merchant_id, r.mcc, b.n AS category_transactions, r.fraud_rate_pct, count(*) OVER () AS held,
+                            row_number() OVER (ORDER BY r.fraud_rate_pct DESC, r.merchant_id) AS place
+                     FROM risk r JOIN (SELECT mcc, CAST(sum(transaction_count) AS BIGINT) AS n FROM metrics GROUP BY mcc) b USING (mcc)
+                     WHERE r.fraud_transaction_count > 0) WHERE place <= 10""",
+            "risk",
+            "metrics",
+        ),
         "analyst_view": _with("SELECT * EXCLUDE (distinct_customer_count, total_fraud_signals) FROM metrics", "metrics"),
         "analyst_risk_view": _with("SELECT * EXCLUDE (distinct_customer_count, merchant_risk_score) FROM risk", "risk"),
         "quality_bronze": _with(_QUALITY_BRONZE, "early_dim"),
@@ -656,6 +665,10 @@ def oracle_sql() -> dict[str, str]:
                 count(auth_response_code) AS with_code FROM raw GROUP BY 1""",
             "raw",
         ),
+        "stream_runs": _with(
+            f"""SELECT DISTINCT {early_day} AS partition, {stamp("time_bucket(INTERVAL '15 minutes', CAST(ingest_timestamp AS TIMESTAMP))")} AS bucket FROM raw""",
+            "raw",
+        ),
         "stream_bronze": _with(f"{_BRONZE_OUT} bronze", "bronze"),
         "stream_customer_state": _with(_STATE_TEXT, "live"),
         "topk_cosine": _NEAREST + "SELECT * FROM nearest",

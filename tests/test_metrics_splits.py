@@ -137,3 +137,17 @@ def test_stability_is_the_mean_and_spread_of_the_folds(sample):
     areas = [E.ranking_metrics(dealt.where(F.col("fold") == k), digits=8).first()["roc_auc"] for k in range(4)]
     row = E.fold_stability(dealt).first()
     assert row["folds"] == 4 and row["cv_auc_mean"] == pytest.approx(np.mean(areas), abs=6e-5) and row["cv_auc_std"] == pytest.approx(np.std(areas), abs=6e-5)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_temporal_split_descends_into_ids_when_all_rows_share_a_moment(spark, monkeypatch, kind):
+    """No more than three rows may be ordered in one place; ids of unequal length, below zero, repeated, missing."""
+    monkeypatch.setattr(SP, "FEW", 3)
+    ids = [None, *range(-40, 60), 70_000, 70_001, 5_000_000_000, 7, 7, 7, 7, 7]
+    df = spark.createDataFrame([(i,) for i in ids], "n bigint").select(
+        F.col("n").cast(kind).alias("transaction_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("transaction_timestamp")
+    )
+    order = sorted(ids, key=lambda i: (i is not None, (str(i) if kind == "string" else i) if i is not None else 0))
+    train = int(len(ids) * 0.75)
+    want = sorted(map(str, [i for i in order[train:] if i != order[train - 1]]))
+    assert sorted(str(r["transaction_id"]) for r in SP.temporal_split(df).where("in_holdout").collect()) == want

@@ -41,8 +41,8 @@ from txnrisk.streaming.triggers import draining, wanted_runs
 AS_OF = datetime(2024, 1, 31)
 FP_COST, FN_COST = 1.0, 20.0
 SMALL_CAP = 10
-# Far fewer rounds than the defaults, so that one machine trains all members in a minute.
-QUICK = EN.Settings(rounds=5, forest_trees=10, isolation_trees=25, kernel_width=64, folds=2)
+# The defaults but for the boosting rounds (5 of 300), which run one after the other.
+FEWER_ROUNDS = EN.Settings(rounds=5)
 # ----------------------------------------------------------------------------------------
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,7 +450,7 @@ def _stream_customer_state(t: Tables) -> DataFrame:
 
 def _training(t: Tables) -> EN.Training:
     if t.training is None:
-        t.training = EN.train(t.silver(), QUICK)
+        t.training = EN.train(t.silver(), FEWER_ROUNDS)
     return t.training
 
 

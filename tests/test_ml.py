@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,10 @@ def test_model_job_publishes_scores_metrics_models_and_value(spark, folder):
     value = spark.read.parquet(lake.path("fraud_value_daily"))
     assert value.agg(F.sum("transaction_count")).first()[0] == rows
     assert EN.Ensemble.load(spark, lake.path("models")).score(spark.read.parquet(lake.path("silver"))).count() == rows
+
+
+def test_a_run_of_the_history_says_what_it_learned_from(spark):
+    rated = spark.createDataFrame([("a", 0.5)], "model_name STRING, holdout_roc_auc DOUBLE")
+    row = EN.stamped_metrics(rated, "r1", datetime(2026, 3, 1), 8, 3, {"feedback_rows": 2}).first()
+    assert (row["training_rows"], row["fraud_rate_in_training_pct"], row["feedback_rows"], row["feedback_labels_changed"]) == (8, 37.5, 2, 0)
+    assert EN.stamped_metrics(rated, "r1", datetime(2026, 3, 1), 0, 0).first()["fraud_rate_in_training_pct"] is None

@@ -216,3 +216,35 @@ def test_an_upsert_reads_either_side_once(spark):
     target, source = table(spark, ("A", 1, 1)), table(spark, ("A", 2, 2))
     plan = writers.upsert(target, source, ["transaction_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_days_of_an_empty_result_are_emptied(spark, folder):
+    path = f"{folder}/t"
+    writers.overwrite_days(table(spark, ("A", 1, 1), ("B", 2, 2)), path)
+    writers.overwrite_days(spark.read.parquet(path).where("false"), path, [date(2026, 3, 1)])
+    assert [r["dt"] for r in spark.read.parquet(path).collect()] == [date(2026, 3, 2)]
+
+
+def test_an_overwrite_computes_its_rows_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = table(spark, ("A", 1, 1), ("B", 2, 2))
+    writers.overwrite_days(rows.mapInArrow(counted, rows.schema), f"{folder}/t", [date(2026, 3, d) for d in (1, 2, 3)])
+    assert seen.value == 2
+
+
+def test_stored_roll_ups_say_when_they_were_computed(spark, folder):
+    rows = [{"transaction_id": f"T{i}", "customer_id": f"C{i % 2}", "timestamp": f"2026-03-01T12:{i:02d}:00", "amount": str(10 + i)} for i in range(12)]
+    lake, now = landed(spark, folder, *rows), datetime(2026, 3, 1, 13)
+    P.run(spark, lake, now)
+    stamps = {"fraud_metrics_daily": "gold_computed_at", "merchant_risk": "gold_computed_at", "merchant_dim": "dim_computed_at"}
+    for name, column in stamps.items():
+        assert {r[column] for r in spark.read.parquet(lake.path(name)).select(column).collect()} == {now}
+    P.run_gold(spark, lake, date(2026, 3, 1))  # without a moment: the beginning of the day
+    assert spark.read.parquet(lake.path("merchant_risk")).first()["gold_computed_at"] == datetime(2026, 3, 1)
+    assert "dim_computed_at" not in spark.read.parquet(lake.path("silver")).columns

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
 )
 from pyspark.ml.feature import PCAModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.functions import scalars as X
@@ -41,6 +41,20 @@ KEY = "transaction_id"
 CROSS_VALIDATED = ("lightgbm", "xgboost", "random_forest")
 
 
+def plain_mean(columns: list[str]) -> Column:
+    """The ensemble's score: every member counts the same."""
+    return sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+
+
+def decided(columns: list[str], threshold: float | Column) -> list[Column]:
+    """The published columns of a scored row: scores with six decimals, decision, label."""
+    return [
+        *[F.round(c, 6).alias(c) for c in columns],
+        (F.col(ENSEMBLE_SCORE) >= threshold).alias("predicted_is_fraud"),
+        (F.col("label") == 1.0).alias("actual_is_fraud"),
+    ]
+
+
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 300
@@ -78,8 +92,7 @@ class Ensemble:
         isolated = self.isolation_forest.score(vectors.sparkSession)
         out = out.withColumn(SCORE_COLUMNS["isolation_forest"], isolated)
         out = self.autoencoder.score(out, SCORE_COLUMNS["autoencoder"])
-        total = sum((F.col(c) for c in SCORE_COLUMNS.values()), F.lit(0.0))
-        return out.withColumn(ENSEMBLE_SCORE, total / len(SCORE_COLUMNS))
+        return out.withColumn(ENSEMBLE_SCORE, plain_mean(list(SCORE_COLUMNS.values())))
 
     def score(self, silver: DataFrame, keep: tuple[str, ...] = (KEY,)) -> DataFrame:
         """Scores, decision and reasons for rows that carry the feature columns."""
@@ -89,13 +102,7 @@ class Ensemble:
     def published(self, scored: DataFrame, keep: list[str]) -> DataFrame:
         explained = self.explanation.factors(scored, "top_risk_factors")
         columns = [*SCORE_COLUMNS.values(), ENSEMBLE_SCORE]
-        return explained.select(
-            *keep,
-            *[F.round(c, 6).alias(c) for c in columns],
-            (F.col(ENSEMBLE_SCORE) >= self.threshold).alias("predicted_is_fraud"),
-            "top_risk_factors",
-            (F.col("label") == 1.0).alias("actual_is_fraud"),
-        )
+        return explained.select(*keep, *decided(columns, self.threshold), "top_risk_factors")
 
     # ------------------------------------------------------------------ persistence
 
@@ -229,10 +236,10 @@ def train(silver: DataFrame, settings: Settings = Settings()) -> Training:
         explanation=M.Explanation.fit(learn),
     )
     scored = scratch.stage(draft.members(staged), "model_scores")
-    threshold = _threshold(scored.where("NOT in_holdout"), settings)
+    threshold = chosen_threshold(scored.where("NOT in_holdout"), settings)
     ensemble = Ensemble(**{**_fields(draft), "threshold": threshold})
     scores = ensemble.published(scored, kept)
-    metrics = _metrics(scored.where("in_holdout"), threshold)
+    metrics = holdout_rows(scored.where("in_holdout"), {**SCORE_COLUMNS, "ensemble": ENSEMBLE_SCORE}, threshold)
     stability = _cross_validated(spark, trees, learn, settings.folds)
     return Training(ensemble, scores, metrics.join(F.broadcast(stability), "model_name", "left"))
 
@@ -241,15 +248,16 @@ def _fields(ensemble: Ensemble) -> dict:
     return {name: getattr(ensemble, name) for name in ensemble.__dataclass_fields__}
 
 
-def _threshold(learned: DataFrame, settings: Settings) -> float:
+def chosen_threshold(learned: DataFrame, settings: Settings) -> float:
+    """The cut of best F1 on rows with ``label`` and the ensemble's score, or of least cost where costs are set."""
     judged = learned.select(F.col(ENSEMBLE_SCORE).alias("score"), (F.col("label") == 1.0).alias("is_fraud"))
     costs = (settings.false_positive_cost, settings.false_negative_cost)
     best = E.best_f1_threshold(judged) if None in costs else E.min_cost_threshold(judged, *costs)
     return float(best.first()["threshold"])
 
 
-def _metrics(holdout: DataFrame, threshold: float) -> DataFrame:
-    columns = {**SCORE_COLUMNS, "ensemble": ENSEMBLE_SCORE}
+def holdout_rows(holdout: DataFrame, columns: dict[str, str], threshold: float) -> DataFrame:
+    """One row per name in ``columns`` (name to score column), all judged at the ensemble's ``threshold``."""
     rows = [F.struct(F.lit(name).alias("model_name"), F.col(c).alias("score")) for name, c in columns.items()]
     long = holdout.select((F.col("label") == 1.0).alias("is_fraud"), F.inline(F.array(*rows)))
     rated = E.holdout_metrics(long, threshold, ranking=E.exact_ranking_metrics)
@@ -283,15 +291,17 @@ def stamped_scores(training: Training, run_id: str, scored_at: datetime) -> Data
 
 
 def stamped_metrics(
-    training: Training, run_id: str, trained_at: datetime, training_rows: int, feedback_stats: dict | None = None
+    metrics: DataFrame, run_id: str, trained_at: datetime, training_rows: int, fraud_rows: int, feedback_stats: dict | None = None
 ) -> DataFrame:
-    """Rows appended to the metrics history, with what the feedback changed."""
+    """Rows appended to the metrics history, with the rows and the share of fraud (NULL of no rows) the run
+    learned from and what the feedback changed."""
     stats = feedback_stats or {}
-    return training.metrics.withColumns(
+    return metrics.withColumns(
         {
             "model_run_id": F.lit(run_id),
             "trained_at": F.lit(trained_at).cast("timestamp"),
             "training_rows": F.lit(training_rows).cast("long"),
+            "fraud_rate_in_training_pct": X.percent(F.lit(fraud_rows), F.lit(training_rows), 4),
             "feedback_rows": F.lit(stats.get("feedback_rows", 0)).cast("long"),
             "feedback_labels_confirmed": F.lit(stats.get("labels_confirmed", 0)).cast("long"),
             "feedback_labels_changed": F.lit(stats.get("labels_changed", 0)).cast("long"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def _rollup(df: DataFrame, grain: list[str], measures: dict[str, Column]) -> Dat
     return df.groupBy(*grain).agg(*[column.alias(name) for name, column in measures.items()])
 
 
+def stamped(rollup: DataFrame, column: str, moment: datetime) -> DataFrame:
+    """``rollup`` with the moment it was computed, as every stored roll-up carries it."""
+    return rollup.withColumn(column, F.lit(moment).cast("timestamp"))
+
+
 def fraud_metrics_daily(silver: DataFrame) -> DataFrame:
     """By day, merchant category and channel."""
     measures = _volume() | {

@@ -32,7 +32,10 @@ from txnrisk.operators import splits as SP
 from txnrisk.operators import value as VL
 from txnrisk.plans import dashboards as D
 from txnrisk.plans import goldsql as GS
+from txnrisk.plans import stored
 from txnrisk.plans.fixture import raw_transactions
+from txnrisk.plans.medallion import Lake
+from txnrisk.plans.portable import portable
 from txnrisk.sources import readers, scratch, writers
 from txnrisk.streaming import bronze_stream, customer_state, landing, scoring
 from txnrisk.streaming.triggers import draining, wanted_runs
@@ -57,6 +60,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._staged: dict[str, DataFrame] = {}
         self.training: EN.Training | None = None
+        self.lake: Lake | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
@@ -160,21 +164,6 @@ def rule_model_metrics(silver: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
-def portable(df: DataFrame) -> DataFrame:
-    """Types every engine prints alike: timestamps as text, decimals as doubles, lists joined."""
-    columns = []
-    for field in df.schema.fields:
-        column = F.col(field.name)
-        if isinstance(field.dataType, T.TimestampType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSS")
-        elif isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
-        elif isinstance(field.dataType, T.ArrayType):
-            column = F.array_join(column, ",")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
-
-
 def _raw_with_day(t: Tables) -> DataFrame:
     return t.raw().withColumn("dt", F.to_date(X.instant(F.col("ingest_timestamp"))))
 
@@ -563,7 +552,8 @@ def queries() -> dict[str, Query]:
     def bound(run: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, sf_dir: run(Tables.of(spark, sf_dir))
 
-    return {name: bound(run) for name, run in _QUERIES.items()}
+    found = _QUERIES | stored.queries(AS_OF, _early_dim)
+    return {name: bound(run) for name, run in found.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.functions import scalars as X
 from txnrisk.ml import ensemble as EN
 from txnrisk.operators import bronze as B
 from txnrisk.operators import feedback as FB
@@ -47,8 +48,11 @@ def run_bronze(spark: SparkSession, lake: Lake, now: datetime, arrival_day: date
     )
 
 
-def run_silver(spark: SparkSession, lake: Lake, as_of: date, process_days: int = 1) -> None:
-    """Features for the last ``process_days`` days.
+def run_silver(
+    spark: SparkSession, lake: Lake, as_of: date, process_days: int = 1, computed_at: datetime | None = None
+) -> None:
+    """Features for the last ``process_days`` days. The dimension is stamped with ``computed_at``, the
+    beginning of ``as_of`` when not given.
 
     31 more days are read as history but not written back: their own history is cut off by the
     read, so writing them would replace good features with poor ones.
@@ -56,10 +60,9 @@ def run_silver(spark: SparkSession, lake: Lake, as_of: date, process_days: int =
     bronze = readers.recent(
         spark.read.parquet(lake.path("bronze")), as_of, readers.SILVER_LOOKBACK_DAYS + process_days
     )
-    writers.upsert_table(
-        V.merchant_risk_scores(bronze), lake.path("merchant_dim"), ["merchant_id"], partition_by=None
-    )
-    dim = spark.read.parquet(lake.path("merchant_dim"))
+    scored = G.stamped(V.merchant_risk_scores(bronze), "dim_computed_at", computed_at or datetime.combine(as_of, time()))
+    writers.upsert_table(scored, lake.path("merchant_dim"), ["merchant_id"], partition_by=None)
+    dim = spark.read.parquet(lake.path("merchant_dim")).drop("dim_computed_at")
     featured = V.silver(bronze, dim)
     fresh = featured.where(F.col("dt") >= F.lit(as_of - timedelta(days=process_days)))
     writers.upsert_table(fresh, lake.path("silver"), ["transaction_id"])
@@ -71,15 +74,19 @@ def run_gold(
     as_of: date,
     days: int = readers.GOLD_LOOKBACK_DAYS,
     merchant_days: int | None = None,
+    computed_at: datetime | None = None,
 ) -> None:
     """Recompute the daily metrics of the last ``days`` days, days that lost all rows included,
-    and the merchant snapshot over ``merchant_days`` (all history when None)."""
+    and the merchant snapshot over ``merchant_days`` (all history when None). Both are stamped with
+    ``computed_at``, the beginning of ``as_of`` when not given."""
+    moment = computed_at or datetime.combine(as_of, time())
     silver = spark.read.parquet(lake.path("silver"))
     recent = readers.recent(silver, as_of, days)
     asked = days_between(as_of - timedelta(days=days), as_of)
-    writers.overwrite_days(G.fraud_metrics_daily(recent), lake.path("fraud_metrics_daily"), asked)
+    daily = G.stamped(G.fraud_metrics_daily(recent), "gold_computed_at", moment)
+    writers.overwrite_days(daily, lake.path("fraud_metrics_daily"), asked)
     scope = silver if merchant_days is None else readers.recent(silver, as_of, merchant_days)
-    writers.overwrite_snapshot(G.merchant_risk(scope), lake.path("merchant_risk"))
+    writers.overwrite_snapshot(G.stamped(G.merchant_risk(scope), "gold_computed_at", moment), lake.path("merchant_risk"))
 
 
 def run_value(spark: SparkSession, lake: Lake, run_id: str, computed_at: datetime) -> None:
@@ -111,7 +118,8 @@ def run_model(
     writers.upsert_table(
         EN.stamped_scores(training, run_id, as_of), lake.path("transaction_risk_scores"), ["transaction_id"]
     )
-    history = EN.stamped_metrics(training, run_id, as_of, labelled.count(), stats)
+    rows, fraud = labelled.agg(F.count("*"), X.tally(X.labelled(F.col("is_fraud")))).first()
+    history = EN.stamped_metrics(training.metrics, run_id, as_of, rows, fraud, stats)
     writers.append(history, lake.path("model_metrics"), partition_by=None)
     training.ensemble.save(spark, lake.path("models"), run_id)
     run_value(spark, lake, run_id, as_of)
@@ -143,8 +151,8 @@ def run(
     known = writers.exists(spark, lake.path("merchant_dim"))
     dim = spark.read.parquet(lake.path("merchant_dim")) if known else None
     verdicts = [_require(check(spark, lake, "bronze", "bronze", Q.bronze_rules(as_of, dim)))]
-    run_silver(spark, lake, day, process_days)
+    run_silver(spark, lake, day, process_days, as_of)
     verdicts.append(_require(check(spark, lake, "silver", "silver", Q.silver_rules())))
-    run_gold(spark, lake, day, gold_days if gold_days is not None else readers.GOLD_LOOKBACK_DAYS)
+    run_gold(spark, lake, day, gold_days if gold_days is not None else readers.GOLD_LOOKBACK_DAYS, computed_at=as_of)
     verdicts.append(_require(check(spark, lake, "gold", "fraud_metrics_daily", Q.gold_rules())))
     return verdicts

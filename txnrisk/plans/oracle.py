@@ -8,6 +8,7 @@ from __future__ import annotations
 from txnrisk.ml.features import CEILINGS, FLAGS, NUMERIC
 from txnrisk.plans.fixture import raw_sql_duckdb
 from txnrisk.schemas import CHANNELS
+from txnrisk.sources.readers import MODEL_INPUT
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 NOW = "1706659200.0"
@@ -239,6 +240,44 @@ _CTE["model_metrics"] = f"""
                  {when('confirmed_is_fraud <> is_fraud')} AS feedback_labels_changed
           FROM silver LEFT JOIN confirmed USING (transaction_id) GROUP BY 1) runs ON runs.model_run_id = r.model_run_id"""
 
+# --- an ensemble of deterministic members, judged on held-out rows ------------------------
+_CTE["side"] = f"""
+    SELECT transaction_id, dt, fraud, a, m, g, (0.0::DOUBLE + a + m + g) / 3.0::DOUBLE AS e, place > n - ceil(n * 0.25) AS in_holdout
+    FROM (SELECT transaction_id, dt, coalesce(is_fraud, FALSE) AS fraud, {rnd('(CAST(amount AS DOUBLE) / 1000.0)', 6)} AS a,
+                 merchant_risk_score AS m, fraud_signal_count / 4.0::DOUBLE AS g,
+                 count(*) OVER (PARTITION BY coalesce(is_fraud, FALSE)) AS n,
+                 row_number() OVER (PARTITION BY coalesce(is_fraud, FALSE) ORDER BY md5(concat(transaction_id, ':', '42')), transaction_id) AS place
+          FROM silver)"""
+_CTE["upto"] = "SELECT unnest([DATE '2024-01-17', DATE '2024-01-24', DATE '2024-01-31']) AS upto"
+_CTE["side_runs"] = "SELECT strftime(upto, '%Y-%m-%d') AS model_run_id, side.* FROM side JOIN upto ON dt <= upto"
+_CTE["side_cut"] = f"""
+    SELECT model_run_id, threshold FROM (
+      SELECT *, row_number() OVER (PARTITION BY model_run_id ORDER BY f1 DESC, threshold) AS place
+      FROM (SELECT model_run_id, c.threshold, coalesce(2.0::DOUBLE * {when('fraud AND e >= c.threshold')}
+                   / nullif(2 * {when('fraud AND e >= c.threshold')} + {when('NOT fraud AND e >= c.threshold')} + {when('fraud AND NOT e >= c.threshold')}, 0), 0) AS f1
+            FROM side_runs, (SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 96) t(i)) c
+            WHERE NOT in_holdout GROUP BY model_run_id, c.threshold)) WHERE place = 1"""
+_CTE["side_long"] = """
+    SELECT model_run_id, fraud, unnest(['amount', 'merchant', 'signals', 'ensemble']) AS model_name, unnest([a, m, g, e]) AS score
+    FROM side_runs WHERE in_holdout"""
+_CTE["side_hist"] = f"SELECT model_run_id, model_name, score, {when('fraud')} AS pos, {when('NOT fraud')} AS neg FROM side_long GROUP BY ALL"
+_CTE["side_ranks"] = _ranks("model_run_id, model_name").replace("hist_2", "side_hist")
+_CTE["side_rated"] = f"""
+    SELECT r.model_run_id, r.model_name, r.roc_auc AS holdout_roc_auc, r.average_precision AS holdout_average_precision,
+           {rnd('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)', 4)} AS holdout_precision,
+           {rnd('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)', 4)} AS holdout_recall,
+           {rnd('coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0)', 4)} AS holdout_f1, d.threshold AS decision_threshold
+    FROM side_ranks r JOIN (
+      SELECT l.model_run_id, model_name, min(threshold) AS threshold, {when('fraud AND score >= threshold')} AS tp, {when('NOT fraud AND score >= threshold')} AS fp,
+             {when('fraud AND NOT score >= threshold')} AS fn
+      FROM side_long l JOIN side_cut c ON l.model_run_id = c.model_run_id GROUP BY 1, 2) d
+    ON d.model_run_id = r.model_run_id AND d.model_name = r.model_name"""
+_CTE["side_fed"] = f"""
+    SELECT strftime(upto, '%Y-%m-%d') AS model_run_id, upto, count(*) AS feedback_rows, count(s.transaction_id) AS labels_confirmed,
+           {when('s.transaction_id IS NOT NULL AND c.confirmed_is_fraud IS DISTINCT FROM s.is_fraud')} AS labels_changed
+    FROM upto CROSS JOIN confirmed c LEFT JOIN silver s ON s.transaction_id = c.transaction_id AND s.dt <= upto GROUP BY 2"""
+_CTE["recent_risk"] = _CTE["risk"].replace("FROM silver", "FROM silver WHERE dt >= DATE '2024-01-17'")
+
 # --- state -------------------------------------------------------------------------------
 _CTE["readable"] = """
     SELECT customer_id, coalesce(epoch(try_cast(timestamp AS TIMESTAMP)), epoch(CAST(ingest_timestamp AS TIMESTAMP))) AS t,
@@ -269,6 +308,9 @@ _NEEDS: dict[str, list[str]] = {
     "model_metrics": ["ranks_2", "f1_2", "cuts_2", "confirmed", "silver"],
     "plain": ["silver"], "hist_plain": ["plain"], "ranks_plain": ["hist_plain"],
     "folds": ["silver"], "fold_models": ["folds"], "fold_hist": ["fold_models"], "fold_areas": ["fold_hist"],
+    "side": ["silver"], "upto": [], "side_runs": ["side", "upto"], "side_cut": ["side_runs"], "side_long": ["side_runs"],
+    "side_hist": ["side_long"], "side_ranks": ["side_hist"], "side_rated": ["side_ranks", "side_cut"],
+    "side_fed": ["upto", "confirmed", "silver"], "recent_risk": ["silver"],
     "readable": ["raw"], "live": ["readable"], "online": ["live"], "online_exact": ["readable"],
 }
 
@@ -382,6 +424,78 @@ _NEAREST = """
 """.format(score=rnd("exact", 4))
 
 
+_QUARANTINED = """SELECT * EXCLUDE reasons, array_to_string(reasons, ',') AS rejection_reason,
+    CAST(coalesce(try_cast(timestamp AS TIMESTAMP), try_cast(ingest_timestamp AS TIMESTAMP)) AS DATE) AS dt
+    FROM flagged WHERE len(reasons) > 0"""
+_STAMPED = "'2024-01-31 00:00:00.000'"
+_MODEL_INPUT = ", ".join(
+    {"amount": "CAST(amount AS DOUBLE) AS amount", "transaction_timestamp": f"{stamp('transaction_timestamp')} AS transaction_timestamp"}.get(c, c)
+    for c in MODEL_INPUT
+)
+
+
+def _verdict(layer: str, outcomes: str) -> str:
+    failed = when("outcome = 'Failed'")
+    return f"""SELECT '{layer}' AS layer, {failed} = 0 AS passed, {pct(when("outcome = 'Passed'"), 'count(*)', 2)} AS pass_rate_pct,
+        {failed} AS failed_count, count(*) AS total_rules,
+        coalesce(string_agg(rule, ';' ORDER BY rule) FILTER (WHERE outcome = 'Failed'), '') AS failed_rules FROM ({outcomes})"""
+
+
+def _stored() -> dict[str, str]:
+    return {
+        "lake_raw": _with("SELECT * FROM raw", "raw"),
+        "lake_arrival_day": _with("SELECT * FROM raw WHERE CAST(CAST(ingest_timestamp AS TIMESTAMP) AS DATE) = DATE '2024-01-12'", "raw"),
+        "lake_quarantine": _with(_QUARANTINED, "flagged"),
+        "lake_bronze": _with(f"{_BRONZE_OUT} bronze", "bronze"),
+        "lake_recent_input": _with(f"SELECT {_MODEL_INPUT} FROM silver WHERE dt >= DATE '2024-01-24'", "silver"),
+        "lake_daily_metrics": _with(f"SELECT *, {_STAMPED} AS gold_computed_at FROM metrics", "metrics"),
+        "lake_merchant_dim": _with(f"SELECT *, {_STAMPED} AS dim_computed_at FROM dim", "dim"),
+        "lake_feedback": """SELECT concat('T', CAST(doc_id AS VARCHAR)) AS transaction_id, toxic = 1 AS confirmed_is_fraud, '2024-02-01T00:00:00Z' AS confirmed_at
+            FROM labels UNION ALL SELECT concat('T', CAST(doc_id AS VARCHAR)), quality = 0, '2024-02-02T00:00:00Z' FROM labels""",
+        "lake_days_overwritten": _with(
+            """SELECT * FROM metrics WHERE dt < DATE '2024-01-20'
+               OR (dt <> DATE '2024-01-25' AND channel <> 'recurring')""",
+            "metrics",
+        ),
+        "lake_merchant_snapshot": _with(f"SELECT *, {_STAMPED} AS gold_computed_at FROM recent_risk", "recent_risk"),
+        "lake_model_history": _with(
+            f"""SELECT r.*, strftime(upto, '%Y-%m-%d 00:00:00.000') AS trained_at, n AS training_rows,
+                {pct('p', 'n', 4)} AS fraud_rate_in_training_pct, feedback_rows,
+                labels_confirmed AS feedback_labels_confirmed, labels_changed AS feedback_labels_changed
+                FROM side_rated r JOIN side_fed f ON f.model_run_id = r.model_run_id
+                JOIN (SELECT model_run_id, count(*) AS n, {when('fraud')} AS p FROM side_runs GROUP BY 1) t ON t.model_run_id = r.model_run_id""",
+            "side_rated",
+            "side_fed",
+        ),
+        "gate_verdicts": _with(
+            "\nUNION ALL ".join(
+                [
+                    _verdict("bronze, first run", f"SELECT * FROM ({_QUALITY_BRONZE}) WHERE rule <> 'References merchant_id'"),
+                    _verdict("bronze", _QUALITY_BRONZE),
+                    _verdict("silver", _QUALITY_SILVER),
+                    _verdict("gold", _QUALITY_GOLD),
+                    "SELECT 'absent', FALSE, 0.0::DOUBLE, -1, 0, 'report_available'",
+                ]
+            ),
+            "early_dim",
+            "metrics",
+        ),
+        "landing_kinds": _with(
+            """SELECT CASE WHEN transaction_id LIKE '%7' THEN 'errors' ELSE 'raw' END AS kind,
+               CAST(CAST(ingest_timestamp AS TIMESTAMP) AS DATE) AS ingest_dt, count(*) AS lines FROM raw GROUP BY 1, 2""",
+            "raw",
+        ),
+        "ensemble_decisions": _with(
+            f"""SELECT transaction_id, in_holdout, a AS amount, m AS merchant, g AS signals, {rnd('e', 6)} AS ensemble_fraud_score,
+                e >= (SELECT threshold FROM side_cut WHERE model_run_id = '2024-01-31') AS predicted_is_fraud, fraud AS actual_is_fraud FROM side""",
+            "side_cut",
+        ),
+        "ensemble_holdout": _with(
+            "SELECT * EXCLUDE model_run_id FROM side_rated WHERE model_run_id = '2024-01-31'", "side_rated"
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     listing = """model_name, model_run_id, trained_at, training_rows, holdout_roc_auc, holdout_precision,
         holdout_recall, holdout_f1, feedback_labels_confirmed, feedback_labels_changed"""
@@ -396,7 +510,7 @@ def oracle_sql() -> dict[str, str]:
         for c in ("amount_sum_1h", "amount_sum_24h", "seconds_since_prior_txn", "amount_mean_30d", "amount_stddev_30d")
     )
     layered_flags = "CAST(is_high_velocity AS INT) + CAST(is_amount_outlier AS INT)"
-    return {
+    return _stored() | {
         "raw_rows_per_day": _with(f"SELECT {early_day} AS dt, count(*) AS records FROM raw GROUP BY 1", "raw"),
         "raw_fraud_mix": _with(
             f"""SELECT {early_day} AS dt, channel, count(*) AS transactions, {when("is_fraud = 'true'")} AS fraud_transactions,
@@ -408,9 +522,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "bronze_valid": _with(f"{_BRONZE_OUT} valid", "valid"),
         "bronze_quarantine": _with(
-            """SELECT * EXCLUDE reasons, array_to_string(reasons, ',') AS rejection_reason,
-               CAST(coalesce(try_cast(timestamp AS TIMESTAMP), try_cast(ingest_timestamp AS TIMESTAMP)) AS DATE) AS dt
-               FROM flagged WHERE len(reasons) > 0""",
+            _QUARANTINED,
             "flagged",
         ),
         "bronze_deduplicated": _with(f"{_BRONZE_OUT} bronze", "bronze"),

@@ -13,7 +13,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +58,13 @@ def create_table(
 ) -> DataFrame:
     """The table at ``path``, created empty when it does not exist yet."""
     recover(spark, path)
+    if not exists(spark, path):
+        _laid_out(spark.createDataFrame([], schema), partition_by, sort_by).save(path)
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
-    if not exists(spark, path):
-        _laid_out(spark.createDataFrame([], schema), partition_by, sort_by).save(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -111,14 +111,15 @@ def overwrite_snapshot(df: DataFrame, path: str) -> None:
 
 def overwrite_days(df: DataFrame, path: str, days: list[date] | None = None) -> None:
     """Replace the partitions present in ``df``. Days listed but absent from ``df`` are
-    emptied too, which a dynamic overwrite alone would leave stale."""
+    emptied too, which a dynamic overwrite alone would leave stale. Which these are is read off the
+    writing job: ``df`` is computed once."""
+    seen = Observation()
+    if days:
+        df = df.observe(seen, *[F.count_if(F.col("dt") == F.lit(day)).alias(f"d{i}") for i, day in enumerate(days)])
     _laid_out(df, "dt", mode="overwrite").option("partitionOverwriteMode", "dynamic").save(path)
-    if not days:
-        return
-    spark = df.sparkSession
-    filled = {row["dt"] for row in df.where(F.col("dt").isin(days)).select("dt").distinct().collect()}
-    for day in set(days) - filled:
-        _drop_folder(spark, f"{path.rstrip('/')}/dt={day}")
+    for i, day in enumerate(days or []):
+        if not seen.get[f"d{i}"]:
+            _drop_folder(df.sparkSession, f"{path.rstrip('/')}/dt={day}")
 
 
 def _locate(spark: SparkSession, folder: str):

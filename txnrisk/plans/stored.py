@@ -107,8 +107,12 @@ def queries(as_of: datetime, early_dim: Callable) -> dict[str, Callable]:
     judged = {n: n for n in names} | {"ensemble": EN.ENSEMBLE_SCORE}
 
     def members(t) -> DataFrame:
-        """Three deterministic members and their plain mean, with the side of the split."""
-        split = SP.train_holdout(t.silver())
+        """Three deterministic members and their plain mean, with the side of the split: written once, as in training,
+        since the threshold and every metric read it again."""
+        return t._table("members", lambda: scored_members(t.silver()))
+
+    def scored_members(silver: DataFrame) -> DataFrame:
+        split = SP.train_holdout(silver)
         return split.select(
             "transaction_id", "dt", "in_holdout", X.labelled(F.col("is_fraud")).cast("double").alias("label"),
             X.rounded(F.col("amount").cast("double") / 1000.0, 6).alias("amount"),

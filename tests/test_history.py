@@ -133,3 +133,12 @@ def test_merchants_are_netted_by_second_before_the_running_sum(spark):
     assert counts.count() == 1200 and wrong.isEmpty()
     plan = H.velocity_features(rows)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum(sign" in plan
+
+
+def test_blocks_are_added_up_on_the_map_side(spark):
+    """What a block opens with comes from a row per cell and block, added up before the shuffle: changes are listed once."""
+    plan = H.amount_zscore(busy(spark, 20, 50, 7))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_sum(cents_3") == 1
+    rows = busy(spark, 20, 50, 7)
+    sums = H._block_sums(H._cells(rows).withColumn("end", F.lit(10**12)), [(F.col("second"), 0, 0), (F.col("second"), 1, 1)], [(1, "n")])
+    assert sums.agg(F.sum("n_1")).first()[0] == rows.where("customer_id IS NOT NULL AND transaction_timestamp IS NOT NULL").count()

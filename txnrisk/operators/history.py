@@ -22,6 +22,8 @@ running sum, so that a customer with as many merchants as rows is bounded by the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +133,21 @@ def _spread(df: DataFrame, moments: list[tuple[Column, int, int]]) -> DataFrame:
     )
 
 
+def _block_sums(df: DataFrame, moments: list[tuple[Column, int, int]], wanted: list[tuple[int, str]]) -> DataFrame:
+    """What the changes of each row come to in each block, a row per (row, block) with a column per ``wanted``.
+
+    A block's changes are counted, not listed, so that they are added up on the map side first.
+    """
+    blocks = F.array_distinct(F.array(*[_block(at) for at, _, _ in moments]))
+    placed = df.withColumn("block", F.explode(blocks)).where(F.col("block") <= _block(F.col("end")))
+
+    def net(code: int) -> Column:
+        signs = [F.when(_block(at) == F.col("block"), sign).otherwise(0) for at, frame, sign in moments if frame == code]
+        return reduce(add, signs, F.lit(0)).cast("tinyint")
+
+    return placed.select(KEY, "block", *[F.when(net(code) != 0, F.col(value) * net(code)).alias(f"{value}_{code}") for code, value in wanted])
+
+
 def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFrame:
     """Per (customer, second): for each frame ``n_<code>``, ``cents_<code>``,
     ``squares_<code>``, and with ``merchants`` also ``n_4``."""
@@ -142,7 +159,8 @@ def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFr
     for frame in frames:
         moments += [(second + frame.opens, frame.code, 1), (second + frame.closes + 1, frame.code, -1)]
     shared = [KEY, "block", "at", "frame", "sign", "n", "cents", "squares"]
-    changes = _spread(_cells(df).select("*", end), moments).select(*shared)
+    cells = _cells(df).select("*", end)
+    changes = _spread(cells, moments).select(*shared)
     if merchants:
         visits = _merchant_changes(df, last).select(
             "*",
@@ -150,7 +168,8 @@ def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFr
             F.lit(0).cast("decimal(38,0)").alias("squares"),
             end,
         )
-        changes = changes.unionByName(_spread(visits, [(second, MERCHANT, 1)]).select(*shared))
+        visited = [(second, MERCHANT, 1)]
+        changes = changes.unionByName(_spread(visits, visited).select(*shared))
 
     wanted = [(frame.code, value) for frame in frames for value in _values(frame)]
     wanted += [(MERCHANT, "n")] if merchants else []
@@ -161,7 +180,10 @@ def trailing_sums(df: DataFrame, frames: list[Frame], merchants: bool) -> DataFr
     inside = Window.partitionBy(KEY, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = [f"{value}_{code}" for code, value in wanted]
-    blocks = changes.groupBy(KEY, "block").agg(*[signed(*w).alias(n) for w, n in zip(wanted, names, strict=True)])
+    blocks = _block_sums(cells, moments, wanted)
+    if merchants:
+        blocks = blocks.unionByName(_block_sums(visits, visited, wanted))
+    blocks = blocks.groupBy(KEY, "block").agg(*[F.sum(n).alias(n) for n in names])
     opening = blocks.select(KEY, "block", *[F.sum(n).over(before).alias(f"before_{n}") for n in names])
     running = changes.select(
         KEY, "block", F.col("at").alias("second"), "frame", *[signed(*w).over(inside).alias(n) for w, n in zip(wanted, names, strict=True)]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import threading
 from datetime import datetime
 
 import numpy as np
@@ -130,3 +131,17 @@ def test_a_run_of_the_history_says_what_it_learned_from(spark):
     row = EN.stamped_metrics(rated, "r1", datetime(2026, 3, 1), 8, 3, {"feedback_rows": 2}).first()
     assert (row["training_rows"], row["fraud_rate_in_training_pct"], row["feedback_rows"], row["feedback_labels_changed"]) == (8, 37.5, 2, 0)
     assert EN.stamped_metrics(rated, "r1", datetime(2026, 3, 1), 0, 0).first()["fraud_rate_in_training_pct"] is None
+
+
+def test_fits_run_side_by_side_and_keep_their_names(spark):
+    """Each task waits for the other: one after the other they would never end."""
+    both = threading.Barrier(2, timeout=60)
+
+    def task(n):
+        both.wait()
+        return spark.range(n).count()
+
+    assert EN.side_by_side(spark, {"a": lambda: task(3), ("b", 1): lambda: task(5)}) == {"a": 3, ("b", 1): 5}
+    assert EN.side_by_side(spark, {}) == {}
+    with pytest.raises(ZeroDivisionError):
+        EN.side_by_side(spark, {"a": lambda: 1 / 0})

@@ -79,3 +79,21 @@ def test_a_round_makes_a_row_per_member(spark, monkeypatch):
     monkeypatch.setattr(AL, "verified", lambda pairs, sets: seen.append(pairs.count()) or judge(pairs, sets))
     AL.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sum(seen) < 120 * AL.BANDS
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_what_rounds_leave_is_joined_exactly(spark, crowded):
+    """One bucket of texts that are all unlike but for three late pairs: no round finds them before it idles."""
+    rng = random.Random(6)
+    texts = [prose(rng, 60) + f" only{i}" for i in range(300)]
+    texts += [texts[i] + " one more" for i in (7, 77, 177)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = AL.prints(docs, ["doc_id"], "text").localCheckpoint()
+    met = marked.selectExpr("1L AS bucket", "node", "n", "303L AS weight", f"{crowded} AS crowded")
+    sets = AL.shingles(docs, marked.select("doc_id", "node"), ["doc_id"], "text")
+    group = {r.node: r.root for r in AL.roots(met, sets).collect()}
+    ids = {bytes(r.node): r.doc_id for r in marked.collect()}
+    found = {}
+    for node, root in group.items():
+        found.setdefault(bytes(root), set()).add(ids[bytes(node)])
+    assert sorted(map(sorted, found.values())) == [[7, 300], [77, 301], [177, 302]]

@@ -4,24 +4,29 @@ Candidates meet in buckets, of which every text has a constant number. One is it
 fingerprints linked at 4 differing bits by the generalised pigeonhole principle). That is too strict for a
 likeness of 0.8, so there are 20 more, each the five smallest values of its shingles under five hash
 functions; two texts at 0.8 share one of them with a chance of 0.9996, at 0.5 with one of 0.47. A bucket of
-very many texts is filed again by the other 19 values.
+very many texts is filed again by the other 19 values, and its texts also go to the rest below.
 
 Buckets are worked off in rounds. In a round every bucket proposes one text; the others in it that belong to
 another group are compared with that one, exactly, on their whole sets of shingles; those that share 0.8 join
 its group. So a round makes one row per member, never all pairs. First the text with the most company is
 proposed, then others at random (by a hash), so that what the first does not reach is reached over the texts
-it did. A bucket is done when it is in one group, when all its texts were proposed, or when three rounds in a
-row changed nothing in it.
+it did. A bucket is done when it is in one group or when all its texts were proposed. One that three rounds in
+a row did not change is left to the rest, with the texts it has not proposed.
+
+The rest is joined exactly: in any fixed order of shingles, rarest first, two sets that share 0.8 have one of
+their first shingles in common (a fifth of the set and one more). Texts that meet so and belong to different
+groups are verified, but for those that the largest group of a shingle would make among its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +37,7 @@ from txnrisk.llm.components import components
 SHINGLE = 5
 SHARE = (4, 5)  # the likeness asked for, as a fraction
 BANDS, WIDTH = 20, 5
-IDLE = 3  # rounds without a change after which a bucket is done
+IDLE = 3  # rounds without a change after which a bucket is left to the exact join
 STRIP = 2048  # shingles hashed at a time
 
 _functions = np.random.default_rng(SH.SEED).integers(0, 2**64, (2, BANDS * WIDTH, 1), dtype=np.uint64)
@@ -88,7 +93,8 @@ def shared(filed: DataFrame) -> DataFrame:
 
 
 def buckets(unique: DataFrame) -> DataFrame:
-    """(bucket, node, n, weight) of all buckets in which nodes meet; ``weight`` is the node's company in all of them."""
+    """(bucket, node, n, weight, crowded) of all buckets in which nodes meet; ``weight`` is the node's company in all of
+    them. Rows of buckets of very many nodes are ``crowded``: these meet in finer buckets, too."""
     by_band = unique.select("node", "n", F.posexplode("bands").alias("band", "value"))
     filed = by_band.select(F.xxhash64("band", "value").alias("bucket"), "node", "n", "band")
     root = SH.rooted(unique.where("n > 0"), F.col("node")).select(F.col("node").alias("fp"), "root")
@@ -97,9 +103,12 @@ def buckets(unique: DataFrame) -> DataFrame:
     hot = met.where(F.col("size") > SH.HOT)
     again = hot.join(unique.select("node", "bands"), "node").select("bucket", "node", "n", "band", F.posexplode("bands").alias("other", "value"))
     finer = again.where("band <> other").select(F.xxhash64("bucket", "other", "value").alias("bucket"), "node", "n", "band")
-    every = met.where(F.col("size") <= SH.HOT) if hot.isEmpty() else met.where(F.col("size") <= SH.HOT).unionByName(shared(finer))
+    every = met.where(F.col("size") <= SH.HOT).select("bucket", "node", "n", "size", F.lit(False).alias("crowded"))
+    if not hot.isEmpty():
+        every = every.unionByName(shared(finer).select("bucket", "node", "n", "size", F.lit(False).alias("crowded")))
+        every = every.unionByName(hot.select("bucket", "node", "n", F.lit(0).alias("size"), F.lit(True).alias("crowded")))
     company = every.groupBy("node").agg(F.sum("size").alias("weight"))
-    return every.select("bucket", "node", "n").join(company, "node")
+    return every.select("bucket", "node", "n", "crowded").join(company, "node")
 
 
 # --- verification -----------------------------------------------------------------------------
@@ -126,9 +135,46 @@ def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
     return beside.where(F.col("both") * SHARE[1] >= either * SHARE[0]).select("a", "b")
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of nodes of ``rest`` (node, n) that may share SHARE of their shingles and are in different
+    groups of ``known`` (node, root); no pair that does share it is missing."""
+    each = rest.join(sets, "node").select("node", "n", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # a shingle that no other text of the rest holds comes first in the order and pairs nothing: it is only counted
+    held = each.join(often, "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    first = F.col("n") - F.expr(f"(n * {SHARE[0]} + {SHARE[1] - 1}) div {SHARE[1]}") + 1
+    marked = held.withColumns({"place": place, "alone": alone}).withColumn("place", F.col("place") + F.col("alone"))
+    marked = marked.where(F.col("place") <= first).select("node", "n", "shingle", "place")
+    if known is not None:
+        marked = marked.join(known.select("node", "root"), "node", "left")
+        marked = marked.select("node", "n", "shingle", "place", F.coalesce("root", "node").alias("group"))
+    else:
+        marked = marked.withColumn("group", F.col("node"))
+    marked = stage(marked, "prefixes")
+    sizes = marked.groupBy("shingle", "group").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("members", "group")).alias("largest"), F.count("*").alias("groups"))
+    one = marked.join(largest.where("groups > 1"), "shingle").where("group <> largest")
+    fields = F.struct("node", "n", "place", "group")
+    one, other = one.select("shingle", "largest", fields.alias("x")), marked.select("shingle", fields.alias("y"))
+    # a pair meets once per shingle, from either side where neither is of the largest group
+    once = (F.col("y.group") == F.col("largest")) | (F.col("x.node") < F.col("y.node"))
+    met = one.join(other, "shingle").where((F.col("x.group") != F.col("y.group")) & once)
+    forth = F.col("x.node") < F.col("y.node")
+    low, high = F.when(forth, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(forth, F.col("y")).otherwise(F.col("x")).alias("high")
+    pairs = met.select(low, high).groupBy(F.col("low.node").alias("a"), F.col("high.node").alias("b"))
+    sides = pairs.agg(F.count("*").alias("both"), *[F.max(f"{side}.{c}").alias(f"{side}_{c}") for side in ("low", "high") for c in ("n", "place")])
+    # up to the last common first shingle all common ones are counted; after it no more can follow than are left
+    most = F.col("both") + F.least(F.col("low_n") - F.col("low_place"), F.col("high_n") - F.col("high_place"))
+    return sides.where(most * (SHARE[0] + SHARE[1]) >= (F.col("low_n") + F.col("high_n")) * SHARE[0]).select("a", "b")
+
+
 def roots(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that belong to a group of two or more, by rounds over the buckets ``met``."""
-    state = met.select("bucket", "node", "n", "weight", F.col("node").alias("group"), F.lit(False).alias("done"), F.lit(0).alias("idle"))
+    """(node, root) of the nodes that belong to a group of two or more, by rounds over the buckets ``met`` and an
+    exact join of what the rounds leave."""
+    rest = [met.where("crowded").select("node", "n")]
+    state = met.where("NOT crowded").select("bucket", "node", "n", "weight", F.col("node").alias("group"), F.lit(False).alias("done"), F.lit(0).alias("idle"))
     state = stage(state.withColumn("before", F.lit(None).cast("bigint")), "open")
     links, joined, turn = None, None, 0
     while not state.isEmpty():
@@ -139,7 +185,9 @@ def roots(met: DataFrame, sets: DataFrame) -> DataFrame:
         heads = state.groupBy("bucket").agg(proposed, digest, F.min("group").alias("low"), F.max("group").alias("high"))
         heads = heads.where(F.col("p").isNotNull() & (F.col("low") != F.col("high"))).drop("low", "high")
         idle = F.when(F.col("now") == F.col("before"), F.col("idle") + 1).otherwise(0)
-        state = stage(state.join(heads, "bucket").withColumn("idle", idle).where(F.col("idle") < IDLE), "proposed")
+        state = stage(state.join(heads, "bucket").withColumn("idle", idle), "proposed")
+        rest.append(state.where((F.col("idle") >= IDLE) & ~F.col("done")).select("node", "n"))
+        state = state.where(F.col("idle") < IDLE)
         sizes = F.least("n", "p.n") * SHARE[1] >= F.greatest("n", "p.n") * SHARE[0]  # else they can't share so much
         apart = ~F.col("done") & (F.col("group") != F.col("p.group")) & sizes
         pairs = state.where(apart).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
@@ -152,6 +200,11 @@ def roots(met: DataFrame, sets: DataFrame) -> DataFrame:
             renamed = joined.withColumnRenamed("root", "to")
             after = after.join(renamed, "node", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
         state, turn = stage(after, "open"), turn + 1
+    left = stage(reduce(DataFrame.unionByName, rest).distinct(), "rest")
+    if not left.isEmpty():
+        good = stage(verified(prefix_pairs(left, sets, joined), sets), "alike")
+        if not good.isEmpty():
+            joined = components(good if links is None else links.unionByName(good))
     return joined if joined is not None else met.select("node", F.col("node").alias("root")).limit(0)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,36 @@ def test_word_lookup_equals_the_tokenizer():
     assert words.of(["qqa qqb qqc"]) == words.of(["qqa qqb qqc"])
 
 
+def test_plain_words_are_kept_once_and_not_normalized():
+    words = PK.WordIds(PK.default_tokenizer())
+    whole, asked = words._words, []
+    words._words = lambda some: asked.extend(some) or whole(some)
+    texts = ["Haus haus, HAUS. größe GRÖSSE;\n haus?! don't 4a", "haus (Haus) größe***"]
+    for text, ids in zip(texts, words.of(texts), strict=True):
+        assert ids == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    assert not {"haus", "größe", "grösse"} & set(asked)
+    assert not {"haus,", "haus?!", "HAUS.", "Haus", "größe***"} & set(words.known)
+
+
+def test_word_lookup_equals_the_tokenizer_on_mixed_characters():
+    rng = random.Random(11)
+    words = PK.WordIds(PK.default_tokenizer())
+    words.KNOWN_WORDS, words.AT_ONCE = 40, 7
+    some = "abzAZ'st.,;!_^`|</>w{}[]0123 \t\n\xa0\xad\xb5\xaa\xba\xdf\xd7\xf7\xc9\u0130\u0131\u012e\u0141\u0301\u00b2\u3000\u2028\u03a3\u01c5\U0001f600中"
+    texts = ["".join(rng.choices(some, k=rng.choice([0, 1, 5, 60]))) for _ in range(3000)]
+    for at in range(0, len(texts), 100):
+        for text, ids in zip(texts[at : at + 100], words.of(texts[at : at + 100]), strict=True):
+            assert ids == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+
+
+def test_strips_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(PK, "STRIP", 10)
+    texts = ["a" * n for n in (3, 25, 0, 9, 9, 1, 40)] + [None, "éé", ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t, pa.string())], names=["id", "text"]) for t in (texts, [], texts[:1])]
+    got = list(PK.strips(iter(batches)))
+    assert [t for _, part in got for t in part] == texts + texts[:1] and max(len(p) for _, p in got) < 5
+
+
 # --- SimHash ----------------------------------------------------------------------------------
 
 

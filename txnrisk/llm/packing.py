@@ -14,6 +14,9 @@ ones; then the rest and all short pieces go, longest first, to the fullest bin t
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,15 +24,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from txnrisk.llm.common import rows, stage
+from txnrisk.llm.common import stage
 
 CAPACITY = 2048
 LARGE = (2, 3)  # pieces longer than capacity / LARGE are grouped; the plan of fewer bins is taken
 GROUPS = 48
+STRIP = 4_000_000  # bytes of text whose words are told apart at a time
 
 
 def default_tokenizer() -> str:
@@ -42,57 +47,84 @@ class WordIds:
     """Token ids of whole texts, as little-endian 32-bit bytes, word by word.
 
     The tokenizer's normalizer and splitter never look across white space, so a text's ids are those
-    of its words in order, and a word met before is looked up. A text holding characters on which
-    white space is a matter of opinion, or which could spell a special token, goes to the tokenizer whole.
+    of its words in order. Arrow splits the texts and tells the different words of them; only these are
+    looked up, and those not met before encoded. A text holding characters on which white space is a
+    matter of opinion, or which could spell a special token, goes to the tokenizer whole.
     """
 
-    KNOWN_WORDS = 800_000  # words kept for lookup; further ones are encoded each time they are met
+    KNOWN_WORDS = 300_000  # words kept for lookup; further ones are encoded each time they are met
+    AT_ONCE = 8192  # words encoded in one call
+    LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f"  # letters with one way to lower case
+    MARKS = "!-&(-/:-@\\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.doubtful = ("<|", *"\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
+        self.latin = re.compile(f"[{self.LATIN}]+")
+        # the same tokenizer for lower-case words of letters: nothing to normalize, nothing to split but spaces
+        levels = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spaces = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, levels]}
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": spaces}))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens with which a word ends
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(x in t for x in self.doubtful) else t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*(words for words in split if words)).difference(known))
-        added = self._learn(new)
-        out = [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-        if len(known) > self.KNOWN_WORDS:
-            for word in added:
-                del known[word]
+        whole = [any(x in t for x in self.doubtful) for t in texts]
+        usual = pa.array(["" if w else t for w, t in zip(whole, texts, strict=True)], pa.large_string())
+        split = pc.utf8_split_whitespace(usual)
+        words = split.values.dictionary_encode()
+        # a Latin word in capitals, or with marks behind it, goes by its plain form
+        parts = pc.extract_regex(words.dictionary, f"^(?P<core>[{self.LATIN}]+)(?P<marks>[{self.MARKS}]*)$")
+        core = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "core")), words.dictionary)
+        marks = pc.fill_null(pc.struct_field(parts, "marks"), "")
+        ids = pc.binary_join_element_wise(*self._looked_up([core, marks]), pa.scalar(b"", pa.large_binary())).take(words.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
+        return [self._whole(t) if w else j for w, t, j in zip(whole, texts, joined, strict=True)]
+
+    def _looked_up(self, columns: list[pa.Array]) -> list[pa.Array]:
+        """The ids of words; those not met before are encoded and, while there is room, kept."""
+        known, out = self.known, []
+        for column in columns:
+            words = column.dictionary_encode()
+            different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(known.get, different))
+            new = [w for w, ids in zip(different, found, strict=True) if ids is None]
+            plain = [w for w in new if self.latin.fullmatch(w) and w == w.lower()]
+            others = list(set(new).difference(plain))
+            known.update(zip(plain, self._plain_words(plain), strict=True))
+            known.update(zip(others, self._words(others), strict=True))
+            found = [known[w] if ids is None else ids for w, ids in zip(different, found, strict=True)]
+            out.append(pa.array(found, pa.large_binary()).take(words.indices))
+            if len(known) > self.KNOWN_WORDS:
+                for word in new:
+                    del known[word]
         return out
 
-    def _learn(self, new: list[str]) -> list[str]:
-        """Enter the words; a Latin word with a comma or full stop behind it, or capitals, goes by its plain form."""
-        plain = [self._plain(w) for w in new]
-        wanted = [w for w in dict.fromkeys(x for pair in plain for x in pair if x) if w not in self.known]
-        self.known.update(zip(wanted, self._words(wanted), strict=True))
-        known = self.known
-        extra = [w for w in new if w not in known]
-        known.update((w, b"".join(known[x] for x in pair if x)) for w, pair in zip(new, plain, strict=True) if w not in known)
-        return wanted + extra
-
-    @staticmethod
-    def _plain(word: str) -> tuple[str, str]:
-        core, mark = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-            return core.lower(), mark
-        return word, ""
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(encoded.ids, dtype="<u4").tobytes()
-        ends = 4 * np.searchsorted(np.array(encoded.word_ids), np.arange(len(words) + 1))
-        return [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    def _plain_words(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), self.AT_ONCE):
+            encoded = self.bare.encode_batch_fast([" ".join(words[at : at + self.AT_ONCE])], add_special_tokens=False)
+            ids = np.array(encoded[0].ids, dtype="<u4")
+            yield from _cut(ids, np.flatnonzero(self.last[ids]) + 1)
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), self.AT_ONCE):
+            some = words[at : at + self.AT_ONCE]
+            encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(1, len(some) + 1))
+            yield from _cut(np.array(encoded.ids, dtype="<u4"), ends)
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, stops = ids.tobytes(), (4 * ends).tolist()
+    return [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -104,6 +136,15 @@ def word_ids(path: str) -> WordIds:
 PIECES = "part int, local long, piece int, start long, length int, ids_crc32 long"
 
 
+def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Consecutive rows of about STRIP bytes in their last column, as Python lists by column."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.columns[-1]).fill_null(0).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // STRIP)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield [column.to_pylist() for column in batch.slice(start, end - start).columns]
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int) -> DataFrame:
     """A row per piece; ``local`` is its rank among the pieces of its length in its partition."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -111,7 +152,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for names, parts, texts in rows(batches, 256):
+        for names, parts, texts in strips(batches):
             out: list[tuple] = []
             for name, part, ids in zip(names, parts, ids_of.of([t or "" for t in texts]), strict=True):
                 data = ids + b"\0\0\0\0"

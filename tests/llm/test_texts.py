@@ -172,6 +172,16 @@ def test_word_lookup_equals_the_tokenizer_on_mixed_characters():
             assert ids == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_a_worker_keeps_few_of_many_invented_words():
+    rng = np.random.default_rng(3)
+    words = PK.WordIds(PK.default_tokenizer())
+    for _ in range(8):
+        letters = np.where(np.arange(220_000) % 9 == 8, 32, rng.integers(97, 123, 220_000))
+        words.of(["".join(map(chr, text)) for text in letters.reshape(22, -1)])
+    assert len(words.known) <= 100_000
+    assert words.bare.model.tokenize("abc")[0].id == words.tokenizer.model.tokenize("abc")[0].id
+
+
 def test_strips_hold_every_row_once(monkeypatch):
     monkeypatch.setattr(PK, "STRIP", 10)
     texts = ["a" * n for n in (3, 25, 0, 9, 9, 1, 40)] + [None, "éé", ""]

@@ -14,7 +14,6 @@ ones; then the rest and all short pieces go, longest first, to the fullest bin t
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -34,7 +33,7 @@ from txnrisk.llm.common import stage
 CAPACITY = 2048
 LARGE = (2, 3)  # pieces longer than capacity / LARGE are grouped; the plan of fewer bins is taken
 GROUPS = 48
-STRIP = 4_000_000  # bytes of text whose words are told apart at a time
+STRIP = 2_000_000  # bytes of text whose words are told apart at a time
 
 
 def default_tokenizer() -> str:
@@ -52,7 +51,7 @@ class WordIds:
     matter of opinion, or which could spell a special token, goes to the tokenizer whole.
     """
 
-    KNOWN_WORDS = 300_000  # words kept for lookup; further ones are encoded each time they are met
+    KNOWN_WORDS = 100_000  # words kept for lookup; further ones are encoded each time they are met
     AT_ONCE = 8192  # words encoded in one call
     LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f"  # letters with one way to lower case
     MARKS = "!-&(-/:-@\\[-`{-~"  # ASCII marks but the apostrophe, with which contractions begin
@@ -60,15 +59,15 @@ class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.doubtful = ("<|", *"\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
         self.latin = re.compile(f"[{self.LATIN}]+")
-        # the same tokenizer for lower-case words of letters: nothing to normalize, nothing to split but spaces
-        levels = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        spaces = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, levels]}
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": spaces}))
+        # the same model for lower-case words of letters: nothing to normalize, nothing to split but spaces
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens with which a word ends
         self.last[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True

@@ -97,3 +97,71 @@ def test_what_rounds_leave_is_joined_exactly(spark, crowded):
     for node, root in group.items():
         found.setdefault(bytes(root), set()).add(ids[bytes(node)])
     assert sorted(map(sorted, found.values())) == [[7, 300], [77, 301], [177, 302]]
+
+
+def crowd_of_copies(rng: random.Random, count: int) -> list[str]:
+    """Copies of one text with edits of their own, any two of which share less than 0.8 of their shingles; every tenth once more, told twice."""
+    base = prose(rng, 150).split()
+    texts = []
+    for i in range(count):
+        copy = list(base)
+        for j, at in enumerate(rng.sample(range(5, 145), 3)):
+            copy[at] = f"new{i}x{j}"
+        texts.append(" ".join(copy))
+    return texts + [f"{t} told twice" for t in texts[::10]]
+
+
+@pytest.mark.parametrize("block", [(512, 1 << 18), (8, 1 << 18), (512, 1 << 11)])
+def test_crowds_are_compared_whole(spark, block, monkeypatch):
+    """With any size of blocks the groups are those of all pairs, those in the largest group among them."""
+    monkeypatch.setattr(AL, "CROWD", 10)
+    monkeypatch.setattr(AL, "BLOCK", block)
+    rng = random.Random(8)
+    texts = crowd_of_copies(rng, 60)
+    for _ in range(40):  # near the limit on either side, of different lengths
+        words = rng.choice(texts).split()
+        at = rng.randrange(len(words) - 30)
+        texts.append(" ".join(words[: at + rng.randrange(20)] + words[at + rng.randrange(20) :] + prose(rng, rng.randint(1, 12)).split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = AL.prints(docs, ["doc_id"], "text").localCheckpoint()
+    sets = AL.shingles(docs, marked.select("doc_id", "node"), ["doc_id"], "text")
+    ids = {bytes(r.node): r.doc_id for r in marked.collect()}
+    share = {(i, j): shared_shingles(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)}
+    root = components_of(list(range(len(texts))), lambda i, j: share[max(i, j), min(i, j)] >= 0.8)
+    crowded = marked.selectExpr("1L AS bucket", "node", "n", "303L AS weight", "true AS crowded")
+    got = {ids[bytes(r.node)]: ids[bytes(r.root)] for r in AL.roots(crowded, sets).collect()}
+    def groups(of: dict[int, int]) -> list[list[int]]:
+        members = [sorted(i for i in of if of[i] == r) for r in set(of.values())]
+        return sorted(m for m in members if len(m) > 1)
+
+    assert groups(got) == groups(dict(enumerate(root))) and len(groups(got)) > 5
+
+
+def rows_of_joins(spark, work) -> int:
+    """The most rows that a join made while ``work`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    most = 0
+    for at in range(before, store.executionsCount()):
+        run = store.executionsList().apply(at).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            for m in range(node.metrics().size()) if "Join" in node.name() else ():
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_no_join_pairs_off_a_crowd(spark):
+    """Twice the copies that are not alike: rows of the largest join grow with them, not with their pairs."""
+    most = []
+    for count in (200, 400):
+        docs = spark.createDataFrame(list(enumerate(crowd_of_copies(random.Random(9), count))), "doc_id long, text string")
+        marked = AL.prints(docs, ["doc_id"], "text").localCheckpoint()
+        sets = AL.shingles(docs, marked.select("doc_id", "node"), ["doc_id"], "text")
+        crowded = marked.selectExpr("1L AS bucket", "node", "n", "303L AS weight", "true AS crowded")
+        most.append(rows_of_joins(spark, lambda c=crowded, s=sets: AL.roots(c, s).count()))
+    assert 0 < most[1] < 3 * most[0]

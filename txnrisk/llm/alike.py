@@ -14,12 +14,16 @@ it did. A bucket is done when it is in one group or when all its texts were prop
 a row did not change is left to the rest, with the texts it has not proposed.
 
 The rest is joined exactly: in any fixed order of shingles, rarest first, two sets that share 0.8 have one of
-their first shingles in common (a fifth of the set and one more). Texts that meet so and belong to different
-groups are verified, but for those that the largest group of a shingle would make among its own.
+their first shingles in common (a fifth of the set and one more; of the smaller set a ninth and one more). Texts of
+different groups that meet so in a shingle of at most CROWD texts are paired and verified: that makes no more
+than CROWD rows per first shingle. Those that meet in a shingle of more are compared in blocks, whose sets are
+multiplied as matrices and leave a forest of links between groups, so no row is made per pair. The comparisons
+themselves are still as many as pairs of texts in such a crowd, but for those inside its largest group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,7 +42,10 @@ SHINGLE = 5
 SHARE = (4, 5)  # the likeness asked for, as a fraction
 BANDS, WIDTH = 20, 5
 IDLE = 3  # rounds without a change after which a bucket is left to the exact join
-STRIP = 2048  # shingles hashed at a time
+CROWD = 64  # nodes that meet in a shingle before they are compared in blocks
+BLOCK = 512, 1 << 18  # nodes and shingles of a block at most
+STEP = 1.26  # sizes of sets in one block; a little more than SHARE leaves room for
+STRIP = 2048  # shingles hashed, and columns multiplied, at a time
 
 _functions = np.random.default_rng(SH.SEED).integers(0, 2**64, (2, BANDS * WIDTH, 1), dtype=np.uint64)
 
@@ -135,9 +142,10 @@ def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
     return beside.where(F.col("both") * SHARE[1] >= either * SHARE[0]).select("a", "b")
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) of nodes of ``rest`` (node, n) that may share SHARE of their shingles and are in different
-    groups of ``known`` (node, root); no pair that does share it is missing."""
+def meetings(rest: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(node, n, shingle, place, group, members): the first shingles of the nodes of ``rest`` (node, n) that nodes of two or
+    more groups of ``known`` (node, root) have among their first; ``members`` is the number of such nodes. Two nodes that
+    share SHARE of their shingles meet in one of them."""
     each = rest.join(sets, "node").select("node", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     # a shingle that no other text of the rest holds comes first in the order and pairs nothing: it is only counted
@@ -153,21 +161,113 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, known: DataFrame | None) -> D
     else:
         marked = marked.withColumn("group", F.col("node"))
     marked = stage(marked, "prefixes")
-    sizes = marked.groupBy("shingle", "group").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("members", "group")).alias("largest"), F.count("*").alias("groups"))
-    one = marked.join(largest.where("groups > 1"), "shingle").where("group <> largest")
-    fields = F.struct("node", "n", "place", "group")
-    one, other = one.select("shingle", "largest", fields.alias("x")), marked.select("shingle", fields.alias("y"))
-    # a pair meets once per shingle, from either side where neither is of the largest group
-    once = (F.col("y.group") == F.col("largest")) | (F.col("x.node") < F.col("y.node"))
-    met = one.join(other, "shingle").where((F.col("x.group") != F.col("y.group")) & once)
-    forth = F.col("x.node") < F.col("y.node")
-    low, high = F.when(forth, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(forth, F.col("y")).otherwise(F.col("x")).alias("high")
-    pairs = met.select(low, high).groupBy(F.col("low.node").alias("a"), F.col("high.node").alias("b"))
-    sides = pairs.agg(F.count("*").alias("both"), *[F.max(f"{side}.{c}").alias(f"{side}_{c}") for side in ("low", "high") for c in ("n", "place")])
+    sizes = marked.groupBy("shingle").agg(F.count("*").alias("members"), F.min("group").alias("low"), F.max("group").alias("high"))
+    return stage(marked.join(sizes.where("low <> high").select("shingle", "members"), "shingle"), "meetings")
+
+
+def prefix_pairs(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of different groups that may share SHARE of their shingles and meet in a shingle of at most
+    CROWD nodes; no pair that does share it and meets so is missing."""
+    few = met.where(F.col("members") <= CROWD)
+    fields = F.struct("n", "node", "place", "group")
+    # of the smaller set a ninth may be without a match in the larger one, so its first shingles are fewer
+    fewer = F.col("n") - F.expr(f"(n * {2 * SHARE[0]} + {sum(SHARE) - 1}) div {sum(SHARE)}") + 1
+    one, other = few.where(F.col("place") <= fewer).select("shingle", fields.alias("x")), few.select("shingle", fields.alias("y"))
+    once = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    sizes = F.col("x.n") * SHARE[1] >= F.col("y.n") * SHARE[0]
+    pairs = one.join(other, "shingle").where((F.col("x.group") != F.col("y.group")) & once & sizes)
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    sides = pairs.agg(F.count("*").alias("both"), *[F.max(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "place")])
     # up to the last common first shingle all common ones are counted; after it no more can follow than are left
-    most = F.col("both") + F.least(F.col("low_n") - F.col("low_place"), F.col("high_n") - F.col("high_place"))
-    return sides.where(most * (SHARE[0] + SHARE[1]) >= (F.col("low_n") + F.col("high_n")) * SHARE[0]).select("a", "b")
+    most = F.col("both") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    return sides.where(most * sum(SHARE) >= (F.col("x_n") + F.col("y_n")) * SHARE[0]).select("a", "b")
+
+
+# --- crowds: nodes that meet in shingles of very many -------------------------------------------
+
+
+def crowds(crowded: DataFrame) -> DataFrame:
+    """(node, crowd) of ``crowded`` (node, shingle): nodes with a shingle in common are in one crowd."""
+    least = crowded.groupBy("node").agg(F.min("shingle").alias("least"))
+    chained = crowded.join(least, "node").select(F.col("least").alias("a"), F.col("shingle").alias("b"))
+    root = components(chained).withColumnRenamed("node", "least")
+    return least.join(root, "least", "left").select("node", F.coalesce("root", "least").alias("crowd"))
+
+
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of values that each set of ``left`` shares with each of ``right``, both given as (values, sizes)."""
+    names, at = np.unique(np.concatenate((left[0], right[0])), return_inverse=True)
+    columns = at[: len(left[0])], at[len(left[0]) :]
+    lines = [np.repeat(np.arange(len(sizes)), sizes) for _, sizes in (left, right)]
+    times = [np.bincount(c, minlength=len(names)) for c in columns]
+    shape = len(left[1]), len(right[1])
+    both = np.zeros(shape, dtype=np.float32)
+    # values that many sets hold: a matrix product; the others: row by row of those that hold them
+    dense = times[0] * times[1] * 32 >= shape[0] * shape[1]
+    number = np.where(dense, np.cumsum(dense) - 1, -1)
+    for start in range(0, int(dense.sum()), STRIP):
+        held = []
+        for line, column, height in zip(lines, columns, shape, strict=True):
+            inside = (number[column] >= start) & (number[column] < start + STRIP)
+            held.append(np.zeros((height, STRIP), dtype=np.float32))
+            held[-1][line[inside], number[column][inside] - start] = 1
+        both += held[0] @ held[1].T
+    thin = ~dense[columns[0]] & (times[1][columns[0]] > 0)
+    line, column = lines[0][thin], columns[0][thin]
+    sorted_right = lines[1][np.argsort(columns[1], kind="stable")]
+    opens = np.cumsum(times[1]) - times[1]
+    ends = np.cumsum(times[1][column])
+    for start in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+        part = np.arange(start, min(start + (1 << 20), int(ends[-1])))
+        entry = np.searchsorted(ends, part, side="right")
+        other = sorted_right[opens[column[entry]] + part - (ends[entry] - times[1][column[entry]])]
+        both += np.bincount(line[entry] * shape[1] + other, minlength=both.size).reshape(shape)
+    return both
+
+
+def group_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a, b) between the groups of two blocks that hold texts which share SHARE, as a forest."""
+    lists = [t["shingles"].combine_chunks() for t in (left, right)]
+    sets = [(x.flatten().to_numpy(), x.value_lengths().to_numpy()) for x in lists]
+    both = overlaps(*sets)
+    n = sets[0][1][:, None] + sets[1][1][None, :]
+    names, group = np.unique(np.array(left["group"].to_pylist() + right["group"].to_pylist(), dtype=object), return_inverse=True)
+    one, other = group[: left.num_rows], group[left.num_rows :]
+    x, y = np.nonzero((both * sum(SHARE) >= n * SHARE[0]) & (one[:, None] != other[None, :]))
+    found = SH.forest(one[x], other[y])
+    return pa.table([pa.array(names[f].tolist(), pa.binary()) for f in found], names=["a", "b"])
+
+
+def crowd_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links that join the groups of those nodes of ``crowded`` (node, n, group, shingle) that meet in a shingle and
+    share SHARE of all.
+
+    A crowd is cut into blocks of bounded size, of nodes of much the same number of shingles. Blocks that may hold a pair
+    are compared with each other, whole sets with whole sets, and leave a forest. Blocks of the crowd's largest group are
+    compared with all others, but not among themselves.
+    """
+    each = crowded.select("node", "n", "group").distinct().join(crowds(crowded.select("node", "shingle")), "node")
+    sizes = each.groupBy("crowd", "group").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("crowd").agg(F.max_by("group", F.struct("members", "group")).alias("largest"))
+    step = F.floor(F.log(F.col("n")) / math.log(STEP)).cast("int")  # sets that share so much are at most one step apart
+    placed = each.join(largest, "crowd").withColumns({"inner": F.col("group") == F.col("largest"), "step": step})
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK[0]), F.floor(F.lit(BLOCK[1]) / F.pow(F.lit(STEP), F.col("step") + 1))))
+    name = ["crowd", "step", "inner"]
+    parts = placed.groupBy(name).agg(F.count("*").alias("members")).select(*name, F.ceil(F.col("members") / room).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+    dealt = stage(placed.join(parts, name).select(*name, part, "node", "group").join(sets, "node"), "crowds")
+    blocks = stage(dealt.select(*name, "part").distinct(), "blocks")
+    block = F.struct("step", "inner", "part")
+    one = blocks.select("crowd", "step", block.alias("x"))
+    other = blocks.select("crowd", block.alias("y"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    pairs = one.join(other, ["crowd", "step"]).where((F.col("x") >= F.col("y")) & ~(F.col("x.inner") & F.col("y.inner")))
+    pairs = stage(pairs.select("crowd", "x", "y", F.xxhash64("crowd", "x", "y").alias("pair")), "block-pairs")
+    sides = []
+    for side in "xy":
+        wanted = pairs.select("crowd", f"{side}.*", "pair")
+        columns = [F.col(c).alias(c) for c in ("pair", "group", "shingles")]  # else Spark takes both sides' for the same
+        sides.append(dealt.join(wanted, [*name, "part"]).select(columns).groupBy("pair"))
+    return sides[0].cogroup(sides[1]).applyInArrow(group_links, "a binary, b binary")
 
 
 def roots(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,7 +302,12 @@ def roots(met: DataFrame, sets: DataFrame) -> DataFrame:
         state, turn = stage(after, "open"), turn + 1
     left = stage(reduce(DataFrame.unionByName, rest).distinct(), "rest")
     if not left.isEmpty():
-        good = stage(verified(prefix_pairs(left, sets, joined), sets), "alike")
+        meeting = meetings(left, sets, joined)
+        good = verified(prefix_pairs(meeting), sets)
+        crowded = meeting.where(F.col("members") > CROWD).select("node", "n", "group", "shingle")
+        if not crowded.isEmpty():
+            good = good.unionByName(crowd_links(crowded, sets))
+        good = stage(good, "alike")
         if not good.isEmpty():
             joined = components(good if links is None else links.unionByName(good))
     return joined if joined is not None else met.select("node", F.col("node").alias("root")).limit(0)

@@ -11,6 +11,7 @@ from txnrisk.ml import boosting as BO
 from txnrisk.ml import ensemble as EN
 from txnrisk.ml import features as MF
 from txnrisk.ml import members as M
+from txnrisk.plans import driver
 from txnrisk.sources import scratch
 
 
@@ -21,6 +22,14 @@ def learn(spark):
     return scratch.stage(EN._weighted(rows, *counts), "learn")
 
 
+def test_the_training_queries_take_the_default_settings(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(EN, "train", lambda rows, settings=EN.Settings(): asked.append(settings))
+    monkeypatch.setattr(driver.Tables, "silver", lambda self: None)
+    driver._training(driver.Tables(spark, "none"))
+    assert asked == [EN.Settings()] and asked[0].rounds == 300
+
+
 def test_the_first_tree_cuts_where_every_cut_tried_says(learn):
     kind = BO.Kind("a", M.BALANCED, 2)
     models, judged = BO.fit(learn, [kind], 0, 1, 42)

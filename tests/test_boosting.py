@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import threading
 from pathlib import Path
 
 import numpy as np
@@ -122,3 +123,14 @@ def test_the_margin_stores_no_row_and_settles(spark, learn):
 
     rng = np.random.default_rng(0)
     assert all(loss(weights) <= loss(weights + rng.normal(scale=s, size=len(weights))) + 1e-7 for s in (1e-3, 1e-2, 0.1))
+
+
+def test_fits_side_by_side_share_no_local_properties(spark):
+    both, context = threading.Barrier(2, timeout=60), spark.sparkContext
+
+    def task(name):
+        context.setLocalProperty("fit", name)
+        both.wait()
+        return context.getLocalProperty("fit")
+
+    assert EN.side_by_side(spark, {name: lambda name=name: task(name) for name in "ab"}) == {"a": "a", "b": "b"}
